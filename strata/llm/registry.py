@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import mixing, packing, token_counts
+from strata.llm import langid, mixing, packing, quality, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": quality.query,
+        "op3_language_id": langid.query,
         "op4_packing": packing.query,
         "op7_token_counts": token_counts.query,
         "op8_mixing": mixing.query,
