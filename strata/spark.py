@@ -1,15 +1,17 @@
 """Session settings and tables that cut lineage.
 
-Intermediate results that are read more than once go to the folder that the
-cluster names in ``spark.checkpoint.dir``, so that a lost executor costs a
-re-read and not a re-run.  Where the setting is missing (tests, a laptop) a
-folder under /tmp takes its place.
+Results of long or repeated plans go to the folder that the cluster names in
+``spark.checkpoint.dir``, so that a lost executor costs a re-read and not a
+re-run.  Where the setting is missing (tests, a laptop) a folder under /tmp takes
+its place.  What a single scan yields is kept on the executors' disks instead:
+if one is lost, its part of the scan runs again.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 FALLBACK_DIR = "/tmp/checkpoints/strata"
@@ -40,17 +42,23 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    The files go when the JVM ends.
+    It is written by as many tasks as the cluster has cores, so that many nearly
+    empty partitions don't become as many files.  The files go when the JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(spark.sparkContext.defaultParallelism).write.parquet(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Keep what a scan yields on the executors' disks, to read it again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing reads it any more."""
     spark = df.sparkSession
