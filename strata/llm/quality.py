@@ -9,7 +9,7 @@ the labelled rows: the cut that separates rows labelled poor from rows labelled
 good best, among the cuts that drop at most ``CLEAN_LOSS`` of the good rows.
 Without both kinds of labels only the fixed rules decide.
 
-Scale: one scan, whose statistics are written once; the sample is the
+Scale: one scan, whose statistics are kept; the sample is the
 ``SAMPLE`` rows with the smallest hashes, the labelled rows are counted by score
 in ``STEPS`` steps, and every row is scored in place.
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.textops import SPACE_BYTES, texts
-from strata.spark import materialize, read_table
+from strata.spark import kept, read_table
 
 TREES, SUBSAMPLE, DEPTH, SEED = 128, 256, 8, 7
 SAMPLE, STEPS, CLEAN_LOSS = 16_384, 4096, 0.001
@@ -188,7 +188,7 @@ def calibrate(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, base_failed, score and kept of every document."""
-    stats = materialize(statistics(docs, id_col, text_col), "statistics")
+    stats = kept(statistics(docs, id_col, text_col))
     sample = stats.filter("n_words > 0").orderBy(F.xxhash64("doc_id", *COUNTS), "doc_id").limit(SAMPLE).select("shares").toArrow()
     if not sample.num_rows:
         return stats.select("doc_id", *COUNTS, base_failed().alias("base_failed"), F.lit(1.0).alias("score"), F.lit(False).alias("kept"))
