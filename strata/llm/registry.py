@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import langid, mixing, packing, quality, token_counts
+from strata.llm import embeddings, langid, linededup, mixing, packing, quality, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality.query,
         "op3_language_id": langid.query,
         "op4_packing": packing.query,
+        "op5_embedding_dedup": embeddings.query,
         "op7_token_counts": token_counts.query,
         "op8_mixing": mixing.query,
+        "op9_line_dedup": linededup.query,
+        "op10_simhash": simhash.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_line_dedup": linededup.ORACLE,
+    }
