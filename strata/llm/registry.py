@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import embeddings, langid, linededup, mixing, packing, quality, simhash, token_counts
+from strata.llm import embeddings, langid, linededup, mixing, packing, pii, quality, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.query,
+        "op2_pii": pii.query,
         "op3_language_id": langid.query,
         "op4_packing": packing.query,
         "op5_embedding_dedup": embeddings.query,
