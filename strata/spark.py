@@ -12,7 +12,8 @@ from __future__ import annotations
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FALLBACK_DIR = "/tmp/checkpoints/strata"
 
@@ -39,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or FALLBACK_DIR).rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, row_group: int = 128 << 20) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     It is written by as many tasks as the cluster has cores, so that many nearly
@@ -47,7 +48,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.coalesce(spark.sparkContext.defaultParallelism).write.parquet(path)
+    df.coalesce(spark.sparkContext.defaultParallelism).write.option("parquet.block.size", row_group).parquet(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
@@ -69,5 +70,13 @@ def discard(df: DataFrame) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
+def row_key(df: DataFrame) -> list[Column]:
+    """Two hashes of all columns (128 bits) that stand for a row; rows that are
+    equal in all columns share them."""
+    flags = [F.col(f"`{c}`").isNull() for c in df.columns]
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return [F.xxhash64(*columns, *flags), F.xxhash64(F.lit(1), *flags, *columns)]
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
