@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.textops import texts
 from strata.llm.tokens import encoder, vocabulary_path
-from strata.spark import materialize, read_table
+from strata.spark import kept, read_table
 
 CAPACITY, END_ID, GRID, MAX_SLACK, GROUP = 2048, 1, 32, 2, 1024
 #: Sequences that one run of equal lengths fills before it starts afresh.
@@ -228,7 +228,7 @@ def items(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = EN
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, max_slack: int = MAX_SLACK, grid: int = GRID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents with their places in sequences."""
-    found = materialize(items(docs, path, capacity, end_id, grid, id_col, text_col), "items")
+    found = kept(items(docs, path, capacity, end_id, grid, id_col, text_col))
     groups = max(1, math.ceil(found.count() / GROUP))
     found = found.withColumn("g", F.pmod(F.xxhash64("doc_id", "doc_tokens", "rest_crc"), F.lit(groups)))
     by_group = found.groupBy("rest", "g").agg(F.count(F.lit(1)).alias("n"))

@@ -5,29 +5,38 @@ merge and drop the white space, so the ids of a text are the ids of its pieces
 one after the other.  ``Encoder`` checks that property of the file when it
 loads it and otherwise hands whole texts to the library.
 
-A piece that is a run of Latin letters with ASCII punctuation behind it is two
-pre-tokens.  The letters of many such pieces go to the library as one text;
-the vocabulary's end-of-word tokens tell them apart afterwards.  All other
-pieces go to the library one by one.
+Texts of plain characters (ASCII, Latin letters, common quotation marks) are cut
+into pre-tokens by the file's own pattern, which for such characters means the
+same here as in the library.  New pre-tokens go to the library many at a time,
+as one text; the vocabulary's end-of-word tokens tell them apart afterwards.
+Pieces of any other text go to the library one by one.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
-from strata.llm.textops import SPACE_BYTES
+#: Spark runs a worker for each core already.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces that are remembered at a time.
-REMEMBERED = 500_000
+#: Entries of a generation of remembered pieces or pre-tokens.
+REMEMBERED = 200_000
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 
-LETTERS_THEN_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)")
+#: Characters whose case, normal form and class are the same everywhere.
+PLAIN = r"\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ–—‘’“”•…¡¿«»"
+NOT_PLAIN = re.compile(f"[^{PLAIN}]|<\\|")
+PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: The file's pattern that PRE_TOKEN stands for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -36,6 +45,29 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class Memory:
+    """The latest keys and their values, in two generations.
+
+    When the younger is full it becomes the older; keys that come up again
+    move back, so that frequent ones stay.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def holding(self, keys: set, compute: Callable[[list], list[bytes]]) -> dict:
+        """A dictionary with at least these keys."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        if missing := keys - young.keys():
+            back = missing & old.keys()
+            young.update((k, old[k]) for k in back)
+            new = list(missing - back)
+            young.update(zip(new, compute(new), strict=True))
+        return young
+
+
 class Encoder:
     """ids of texts, as the library gives them without added special tokens."""
 
@@ -48,11 +80,10 @@ class Encoder:
         self.by_piece = self._splits_at_space(told)
         suffix = told["model"].get("end_of_word_suffix")
         self.ends = None
-        if self.by_piece and suffix:
+        if self.by_piece and suffix and self._pattern(told) == PATTERN:
             self.ends = np.zeros(max(self.library.get_vocab().values()) + 1, dtype=bool)
             self.ends[[i for token, i in told["model"]["vocab"].items() if token.endswith(suffix)]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {"": b""}
+        self.pieces, self.runs = Memory(REMEMBERED), Memory(REMEMBERED)
 
     @staticmethod
     def _splits_at_space(told: dict) -> bool:
@@ -62,10 +93,14 @@ class Encoder:
         spaced = any(c.isspace() for t in told.get("added_tokens", []) for c in t["content"])
         return dropped and plain and not spaced and told.get("post_processor") is None
 
+    @staticmethod
+    def _pattern(told: dict) -> str | None:
+        return next((s["pattern"].get("Regex") for s in told["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"), None)
+
     def _encode(self, pieces: list[str]) -> list[bytes]:
         out = []
         for at in range(0, len(pieces), 5_000):
-            found = self.library.encode_batch(pieces[at : at + 5_000], add_special_tokens=False)
+            found = self.library.encode_batch_fast(pieces[at : at + 5_000], add_special_tokens=False)
             out += [np.array(x.ids, dtype="<u4").tobytes() for x in found]
         return out
 
@@ -74,7 +109,7 @@ class Encoder:
         out: list[bytes] = []
         for at in range(0, len(runs), 5_000):
             part = runs[at : at + 5_000]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             to = np.flatnonzero(self.ends[ids]) + 1
             if len(to) == len(part) and to[-1] == len(ids):
                 whole, to = ids.tobytes(), (to * 4).tolist()
@@ -83,55 +118,53 @@ class Encoder:
                 out += self._encode(part)
         return out
 
-    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of pieces that aren't remembered."""
-        if not pieces:
-            return {}
-        found: dict[bytes, bytes] = {}
-        whole: list[bytes] = []
-        split: list[tuple[bytes, str, str]] = []
-        for p in pieces:
-            text = p.decode("utf-8")
-            if self.ends is not None and (m := LETTERS_THEN_SIGNS.fullmatch(text)):
-                split.append((p, m[1].lower(), m[2]))
-            else:
-                whole.append(p)
-        if split:
-            if len(self.runs) > REMEMBERED:
-                self.runs = {"": b""}
-            runs = self.runs
-            new = list({x for _, a, b in split for x in (a, b) if x not in runs})
-            runs.update(zip(new, self._encode_runs(new), strict=True))
-            found.update((p, runs[a] + runs[b]) for p, a, b in split)
-        found.update(zip(whole, self._encode([p.decode("utf-8") for p in whole]), strict=True))
-        return found
-
-    def batches(self, texts: list[bytes]):
-        """For a slice of texts at a time: their pieces, and the ids of each."""
+    def _learn(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces."""
+        texts = [p.decode("utf-8") for p in pieces]
+        split = [PRE_TOKEN.findall(t.lower()) if self.ends is not None and not NOT_PLAIN.search(t) else None for t in texts]
+        runs = self.runs.holding({x for parts in split if parts for x in parts}, self._encode_runs)
+        others = iter(self._encode([t for t, parts in zip(texts, split, strict=True) if parts is None]))
+        return [next(others) if parts is None else b"".join([runs[x] for x in parts]) for parts in split]
+
+    @staticmethod
+    def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
         at = 0
         while at < len(texts):
             size, to = 0, at
             while to < len(texts) and (to == at or size + len(texts[to]) < 1 << 22):
                 size += len(texts[to])
                 to += 1
-            split = [t.split() for t in texts[at:to]] if self.by_piece else [[t] if t.strip(SPACE_BYTES) else [] for t in texts[at:to]]
-            known = self.known
-            met = set(chain.from_iterable(split))
-            found = self.learn(met - known.keys())
-            if len(known) + len(found) > REMEMBERED:
-                known.clear()
-                found.update(self.learn(met - found.keys()))
-            known.update(found)
-            yield split, known
+            yield texts[at:to]
             at = to
-            if len(known) > REMEMBERED or not self.by_piece:
-                self.known = {}
+
+    def batches(self, texts: list[bytes]) -> Iterator[tuple[list[list[bytes]], dict[bytes, bytes]]]:
+        """For a slice of texts at a time: their pieces, and the ids of each."""
+        for part in self._slices(texts):
+            split = [t.split() for t in part] if self.by_piece else [[t] for t in part]
+            yield split, self.pieces.holding(set(chain.from_iterable(split)), self._learn)
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for split, known in self.batches(texts):
-            out += [b"".join([known[p] for p in pieces]) for pieces in split]
+        return [ids for part in self._slices(texts) for ids in self._ids(part)]
+
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        plain: list[tuple[int, list[str]]] = []
+        others: list[int] = []
+        for i, raw in enumerate(texts):
+            text = raw.decode("utf-8")
+            if self.ends is not None and not NOT_PLAIN.search(text):
+                plain.append((i, PRE_TOKEN.findall(text.lower())))
+            else:
+                others.append(i)
+        get = self.runs.holding(set(chain.from_iterable(parts for _, parts in plain)), self._encode_runs).__getitem__
+        for i, parts in plain:
+            out[i] = b"".join(map(get, parts))
+        at = 0
+        for split, known in self.batches([texts[i] for i in others]):
+            for pieces in split:
+                out[others[at]] = b"".join([known[p] for p in pieces])
+                at += 1
         return out
 
     def counts(self, texts: list[bytes]) -> list[list[int]]:
