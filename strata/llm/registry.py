@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import embeddings, langid, linededup, mixing, packing, pii, quality, simhash, token_counts
+from strata.llm import embeddings, langid, linededup, mixing, packing, pii, quality, simhash, suffixes, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": langid.query,
         "op4_packing": packing.query,
         "op5_embedding_dedup": embeddings.query,
+        "op6_suffix_dedup": suffixes.query,
         "op7_token_counts": token_counts.query,
         "op8_mixing": mixing.query,
         "op9_line_dedup": linededup.query,
