@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.spark import read_table
+from strata.spark import read_table, row_key
 
 WINDOW = 3
 INK = r"[^\x20\x09-\x0D]"
@@ -36,10 +36,11 @@ def lines_of(text: Column) -> Column:
 
 
 def windows(docs: DataFrame, id_col: str, text_col: str, size: int = WINDOW) -> DataFrame:
-    """(id, row, pos, h1, h2) of every window with ink."""
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("row"), lines_of(F.col(text_col)).alias("lines"))
+    """(id, r1, r2, pos, h1, h2) of every window with ink."""
+    r1, r2 = row_key(docs)
+    lines = docs.select(F.col(id_col).alias("id"), r1.alias("r1"), r2.alias("r2"), lines_of(F.col(text_col)).alias("lines"))
     hashed = lines.filter(F.size("lines") >= size).select(
-        "id", "row",
+        "id", "r1", "r2",
         F.transform("lines", lambda x: F.xxhash64(x)).alias("a"),
         F.transform("lines", lambda x: F.xxhash64(F.lit(1), x)).alias("b"),
         F.transform("lines", lambda x: x.rlike(INK)).alias("ink"),
@@ -52,18 +53,18 @@ def windows(docs: DataFrame, id_col: str, text_col: str, size: int = WINDOW) ->
             some = some | F.get("ink", s)
         return F.struct(i.alias("pos"), F.xxhash64(*(F.get("a", s) for s in steps)).alias("h1"), F.xxhash64(*(F.get("b", s) for s in steps)).alias("h2"), some.alias("some"))
 
-    each = hashed.select("id", "row", F.explode(F.transform(F.sequence(F.lit(0), F.size("a") - size), at)).alias("w"))
-    return each.filter("w.some").select("id", "row", "w.pos", "w.h1", "w.h2")
+    each = hashed.select("id", "r1", "r2", F.explode(F.transform(F.sequence(F.lit(0), F.size("a") - size), at)).alias("w"))
+    return each.filter("w.some").select("id", "r1", "r2", "w.pos", "w.h1", "w.h2")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """(id, row, starts): the sorted positions of a document's windows that
+    """(r1, r2, starts): the sorted positions of a document's windows that
     stand earlier in the corpus."""
     found = windows(docs, id_col, text_col, size)
-    place = F.struct("id", "row", "pos")
+    place = F.struct("id", "r1", "r2", "pos")
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "first")
     later = found.join(first, ["h1", "h2"]).filter(place > F.col("first"))
-    return later.groupBy("id", "row").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
+    return later.groupBy("r1", "r2").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
 
 
 def between(lines: Column, starts: Column, size: int = WINDOW) -> Column:
@@ -82,10 +83,10 @@ def between(lines: Column, starts: Column, size: int = WINDOW) -> Column:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, n_lines: str | None = None, n_removed: str | None = None) -> DataFrame:
     """``docs`` with repeated lines gone from the text; the numbers of lines and
     of removed lines in the columns named, if any."""
-    found = repeats(docs, id_col, text_col, size).select(F.col("id").alias("_dup_id"), F.col("row").alias("_dup_row"), F.col("starts").alias("_dup_starts"))
-    keyed = docs.select("*", F.xxhash64(*docs.columns).alias("_row"))
-    joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("_dup_id")) & (F.col("_row") == F.col("_dup_row")), "left")
-    split = joined.withColumn("_lines", lines_of(F.col(text_col))).withColumn("_kept", F.when(F.col("_dup_starts").isNotNull(), between(F.col("_lines"), F.col("_dup_starts"), size)))
+    found = repeats(docs, id_col, text_col, size).select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2"), F.col("starts").alias("_starts"))
+    r1, r2 = row_key(docs)
+    joined = docs.select("*", r1.alias("_r1"), r2.alias("_r2")).join(found, ["_r1", "_r2"], "left")
+    split = joined.withColumn("_lines", lines_of(F.col(text_col))).withColumn("_kept", F.when(F.col("_starts").isNotNull(), between(F.col("_lines"), F.col("_starts"), size)))
     text = F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))
     columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     total = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")

@@ -34,24 +34,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.textops import word_counts
-from strata.spark import materialize, read_table
+from strata.spark import materialize, read_table, row_key
 
 WEIGHTS, SHARE, MOST_COPIES, SEED = (5, 2, 1), 1.0, 3, 2024
-GROUP, FAN_IN = 2048, 64
+GROUP, FAN_IN = 512, 64
 TINY = 1e-9
 
-UNIT = "doc_id long, row_hash long, source string, size long, n_rows long, source_size long, target double, whole long, part double, node long, up boolean"
+UNIT = "doc_id long, r1 long, r2 long, source string, size long, n_rows long, source_size long, target double, whole long, part double, node long, up boolean"
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, row_hash (of all columns), source, size in words."""
+    """doc_id, r1 and r2 (hashes of all columns), source, size in words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(word_counts(b.column(3)))], names=["doc_id", "row_hash", "source", "size"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(word_counts(b.column(4)))], names=["doc_id", "r1", "r2", "source", "size"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(*docs.columns).alias("row_hash"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(count, "doc_id long, row_hash long, source string, size long")
+    r1, r2 = row_key(docs)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), r1.alias("r1"), r2.alias("r2"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(count, "doc_id long, r1 long, r2 long, source string, size long")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
@@ -140,22 +141,22 @@ def _round(seed: int, level: int, last: bool):
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
     """How often each document is taken.
 
-    One row for each distinct row of ``docs``: doc_id, row_hash (xxhash64 of
-    all its columns), source, size, n_rows (how often it stands in ``docs``),
+    One row for each distinct row of ``docs``: doc_id, r1 and r2 (hashes of all
+    its columns), source, size, n_rows (how often it stands in ``docs``),
     source_size, target and total (copies of all those rows together).
     """
-    units = materialize(sized(docs, id_col, text_col, source_col).groupBy("doc_id", "row_hash", "source", "size").agg(F.count(F.lit(1)).alias("n_rows")), "units")
+    units = materialize(sized(docs, id_col, text_col, source_col).groupBy("doc_id", "r1", "r2", "source", "size").agg(F.count(F.lit(1)).alias("n_rows")), "units")
     groups = max(1, math.ceil(units.count() / GROUP))
     sources = targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size")), weights, share, most).withColumnRenamed("source", "of_source")
     expected = F.when(F.col("size") > 0, F.col("target") / F.col("source_size") * F.col("n_rows")).otherwise(F.lit(0.0))
     whole = F.least(F.floor(expected + F.lit(TINY)), F.col("n_rows") * most)
     rows = units.join(sources, F.col("source").eqNullSafe(F.col("of_source"))).select(
-        "doc_id", "row_hash", "source", "size", "n_rows", "source_size", "target", whole.cast("long").alias("whole"), F.greatest(expected - whole, F.lit(0.0)).alias("part"),
-        F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(groups)).alias("node"), F.lit(None).cast("boolean").alias("up"),
+        "doc_id", "r1", "r2", "source", "size", "n_rows", "source_size", "target", whole.cast("long").alias("whole"), F.greatest(expected - whole, F.lit(0.0)).alias("part"),
+        F.pmod(F.xxhash64("r1", "r2"), F.lit(groups)).alias("node"), F.lit(None).cast("boolean").alias("up"),
     )
     decided, level = None, 0
     while True:
-        ordered = rows.repartition("node", "source").sortWithinPartitions("node", "source", "doc_id", "row_hash")
+        ordered = rows.repartition("node", "source").sortWithinPartitions("node", "source", "doc_id", "r1", "r2")
         rows = materialize(ordered.mapInArrow(_round(seed, level, groups == 1), UNIT), f"rounded{level}")
         done = rows.filter(F.col("up").isNotNull())
         decided = done if decided is None else decided.unionByName(done)
@@ -163,7 +164,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
             break
         groups, level = math.ceil(groups / FAN_IN), level + 1
         rows = rows.filter(F.col("up").isNull()).withColumn("node", F.floor(F.col("node") / FAN_IN))
-    return decided.select("doc_id", "row_hash", "source", "size", "n_rows", "source_size", "target", (F.col("whole") + F.col("up").cast("long")).alias("total"))
+    return decided.select("doc_id", "r1", "r2", "source", "size", "n_rows", "source_size", "target", (F.col("whole") + F.col("up").cast("long")).alias("total"))
 
 
 def per_row(total: Column, n_rows: Column, index: Column) -> Column:
@@ -173,13 +174,12 @@ def per_row(total: Column, n_rows: Column, index: Column) -> Column:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents, each as often as it is taken, with their own columns."""
-    taken = copies(docs, **options).filter(F.col("total") > 0).select(F.col("doc_id").alias("_mix_id"), F.col("row_hash").alias("_mix_hash"), F.col("total").alias("_mix_total"))
-    id_col = options.get("id_col", "doc_id")
-    hashed = docs.select("*", F.xxhash64(*docs.columns).alias("_mix_row"))
+    taken = copies(docs, **options).filter(F.col("total") > 0).select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2"), F.col("total").alias("_total"))
+    r1, r2 = row_key(docs)
     # equal rows stand for each other: one of them carries the copies of all
-    once = hashed.dropDuplicates([id_col, "_mix_row"])
-    rows = once.join(taken, F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_row") == F.col("_mix_hash")))
-    return rows.select(*docs.columns, F.explode(F.expr("sequence(1L, _mix_total)")).alias("_mix_copy")).drop("_mix_copy")
+    once = docs.select("*", r1.alias("_r1"), r2.alias("_r2")).dropDuplicates(["_r1", "_r2"])
+    rows = once.join(taken, ["_r1", "_r2"])
+    return rows.select(*docs.columns, F.explode(F.expr("sequence(1L, _total)")).alias("_copy")).drop("_copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,15 +59,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, keys: list[Column] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and any further long ``keys``."""
+    names = [f"key{i}" for i in range(len(keys))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in texts(b.column(1))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], names=["doc_id", "fp", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(k.alias(n) for k, n in zip(keys, names, strict=True)))
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{n} long" for n in names)]))
 
 
 class BKTree:
@@ -168,10 +170,8 @@ def shards(n: int, radius: int = RADIUS, bits: int = 64) -> list[Column]:
 
 
 def groups(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) of rows (doc_id, fp).
-
-    component_id is the smallest doc_id that links reach.
-    """
+    """``fps`` with root, the smallest fingerprint that links reach, and
+    component_id, the smallest doc_id there."""
     if radius != RADIUS:
         raise ValueError(f"the cuts of the bits are made for a radius of {RADIUS}")
     merged = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
@@ -181,8 +181,8 @@ def groups(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     rooted = merged.join(found, merged["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = materialize(rooted, "rooted")
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(ids, "root").select(F.col("fp").alias("of_fp"), "component_id")
-    return fps.join(by_fp, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
+    by_fp = named.join(ids, "root").select(F.col("fp").alias("of_fp"), "root", "component_id")
+    return fps.join(by_fp, F.col("fp") == F.col("of_fp")).drop("of_fp")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
