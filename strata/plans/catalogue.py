@@ -1,15 +1,400 @@
-"""Queries by name, with the same results in SQL."""
+"""Queries by name, with the same results in SQL.
+
+Chunk queries use small chunk sizes, so that texts of a few kB have several.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strata.functions import fixed_values as V
+from strata.functions import histogram, identity, ring
+from strata.functions.correlation import correlate
+from strata.operators import chunking, codecs, decode, dedup, encode, similarity
+from strata.operators.chunking import SMALL, ChunkParams
+from strata.plans import oracle as O
+from strata.sources import archive_file, files
+from strata.spark import read_table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def _cut(spark: SparkSession, d: str, source=files.documents, params: ChunkParams = SMALL) -> DataFrame:
+    return chunking.chunks(source(spark, d), params)
+
+
+def _with(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(c.strip() for c in ctes)
+
+
+DOCS = O.chunk_rows("c", O.FILES["documents"], SMALL)
+PAGES = O.chunk_rows("c", O.FILES["pages"], SMALL)
+
+# --- scalar functions --------------------------------------------------------
+
+
+@query("ring_ops", """SELECT x, y, (256 - x) & 255 AS neg, 255 - x AS bnot, xor(x, y) AS xor_, x & y AS band, x | y AS bor, (x + 1) & 255 AS succ, (x + 255) & 255 AS pred
+FROM (SELECT i % 256 AS x, i // 256 AS y FROM (SELECT CAST(range AS INTEGER) AS i FROM range(65536)))""")
+def ring_ops(spark: SparkSession, d: str) -> DataFrame:
+    x, y = F.col("x"), F.col("y")
+    pairs = spark.range(65536).select((F.col("id") % 256).cast("int").alias("x"), F.floor(F.col("id") / 256).cast("int").alias("y"))
+    return pairs.select(x, y, ring.neg(x).alias("neg"), ring.bnot(x).alias("bnot"), ring.xor(x, y).alias("xor_"), ring.band(x, y).alias("band"), ring.bor(x, y).alias("bor"), ring.succ(x).alias("succ"), ring.pred(x).alias("pred"))
+
+
+@query("byte_triad", """SELECT x AS datum, CAST(bit_count(x) AS INTEGER) AS stratum, array_to_string(list_transform(range(8), lambda i: CASE WHEN (x >> CAST(i AS INTEGER)) & 1 = 1 THEN '1' ELSE '0' END), '') AS spectrum,
+array_to_string(list_filter(range(8), lambda i: (x >> CAST(i AS INTEGER)) & 1 = 1), ',') AS positions FROM (SELECT CAST(range AS INTEGER) AS x FROM range(256))""")
+def byte_triad(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("id").cast("int")
+    t = ring.triad(x)
+    bits = F.array_join(F.transform(t["spectrum"], lambda b: b.cast("int").cast("string")), "")
+    return spark.range(256).select(t["datum"].alias("datum"), t["stratum"].alias("stratum"), bits.alias("spectrum"), F.array_join(ring.set_positions(x).cast("array<string>"), ",").alias("positions"))
+
+
+@query("chunk_identity", f"""SELECT doc_id, h AS hex, '{V.CHUNK_URN}' || h[:16] AS urn, 'ChunkId(' || h[:16] || ')' AS debug, h[:16] AS display,
+'{V.BRAILLE_IRI}' || array_to_string(list_transform(range(32), lambda i: chr(CAST(10240 + 16 * (strpos('0123456789abcdef', substr(h, CAST(2 * i + 1 AS INTEGER), 1)) - 1) + strpos('0123456789abcdef', substr(h, CAST(2 * i + 2 AS INTEGER), 1)) - 1 AS INTEGER))), '') AS iri,
+h AS round_trip FROM (SELECT doc_id, sha256(text) AS h FROM documents)""")
+def chunk_identity(spark: SparkSession, d: str) -> DataFrame:
+    h = F.col("h")
+    rows = read_table(spark, d, "documents").select("doc_id", identity.chunk_id(F.col("text")).alias("h"))
+    return rows.select("doc_id", h.alias("hex"), identity.urn(h).alias("urn"), identity.debug(h).alias("debug"), identity.short(h).alias("display"), identity.braille_iri(h).alias("iri"), identity.from_bytes(identity.to_bytes(h)).alias("round_trip"))
+
+
+@query("file_checksum", "SELECT page_id AS file_id, sha256(html) AS checksum FROM pages UNION ALL SELECT doc_id, sha256(text) FROM documents")
+def file_checksum(spark: SparkSession, d: str) -> DataFrame:
+    rows = files.pages(spark, d).unionByName(files.documents(spark, d))
+    return rows.select("file_id", identity.file_checksum(F.col("content")).alias("checksum"))
+
+
+# --- histograms and classes ----------------------------------------------------
+
+_HIST = O.byte_rows("c", O.FILES["documents"])
+_PROFILE = O.profile_rows("c")
+
+
+@query("stratum_histogram", _with(_HIST) + O.histogram_rows("c").replace("SELECT", " SELECT", 1))
+def stratum_histogram(spark: SparkSession, d: str) -> DataFrame:
+    content = F.col("content")
+    return files.documents(spark, d).select("file_id", *histogram.bins(content), F.octet_length(content).cast("long").alias("n"))
+
+
+@query("stratum_moments", _with(_HIST, _PROFILE) + " SELECT file_id, mean, variance, extreme AS extreme_density, CAST(b4 AS DOUBLE) / n AS density4, "
+       + "concat_ws(',', " + ", ".join(f"CAST(CAST(least(255, floor(CAST(b{k} AS DOUBLE) / n * CAST(255 AS DOUBLE))) AS INTEGER) AS VARCHAR)" for k in range(9)) + ") AS summary FROM c_profile")
+def stratum_moments(spark: SparkSession, d: str) -> DataFrame:
+    rows = histogram.with_bins(files.documents(spark, d), "content")
+    return rows.select("file_id", histogram.mean().alias("mean"), histogram.variance().alias("variance"), histogram.extreme_density().alias("extreme_density"), histogram.density(4).alias("density4"), F.array_join(histogram.summary().cast("array<string>"), ",").alias("summary"))
+
+
+@query("chi_square", _with(_HIST, _PROFILE) + " SELECT file_id, chi AS chi_square FROM c_profile")
+def chi_square(spark: SparkSession, d: str) -> DataFrame:
+    return histogram.with_bins(files.documents(spark, d), "content").select("file_id", histogram.chi_square().alias("chi_square"))
+
+
+@query("classify_chunks", _with(PAGES, "c_u AS (SELECT DISTINCT chunk_id, h FROM c)", "u_files AS (SELECT chunk_id, h, length(h) // 2 AS n FROM c_u)", "u_pos AS (SELECT chunk_id, h, unnest(range(n)) AS p FROM u_files)",
+       "u_bytes AS (SELECT chunk_id, 16 * (strpos('0123456789ABCDEF', substr(h, 2 * p + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, 2 * p + 2, 1)) - 1 AS x FROM u_pos)", O.profile_rows("u", "chunk_id"))
+       + " SELECT chunk_id, class FROM u_profile")
+def classify_chunks(spark: SparkSession, d: str) -> DataFrame:
+    unique = _cut(spark, d, files.pages).select("chunk_id", "data").dropDuplicates(["chunk_id"])
+    return histogram.profiled(unique).select("chunk_id", "class")
+
+
+@query("classify_embeddings")
+def classify_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return histogram.profiled(files.embeddings(spark, d), "content").select("file_id", *histogram.BINS, "class")
+
+
+# --- chunks --------------------------------------------------------------------
+
+_CHUNKS = " SELECT file_id, seq, offset_ AS \"offset\", length, chunk_id FROM c"
+
+
+@query("cdc_chunks", _with(DOCS) + _CHUNKS)
+def cdc_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _cut(spark, d).drop("data")
+
+
+@query("cdc_chunks_pages", _with(PAGES) + _CHUNKS)
+def cdc_chunks_pages(spark: SparkSession, d: str) -> DataFrame:
+    return _cut(spark, d, files.pages).drop("data")
+
+
+@query("cdc_chunks_default", _with(O.chunk_rows("c", O.FILES["documents"], ChunkParams())) + _CHUNKS)
+def cdc_chunks_default(spark: SparkSession, d: str) -> DataFrame:
+    return _cut(spark, d, params=ChunkParams()).drop("data")
+
+
+@query("chunk_coverage", "SELECT doc_id AS file_id, octet_length(encode(text)) AS n_bytes, octet_length(encode(text)) AS covered, true AS contiguous FROM documents")
+def chunk_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.coverage(_cut(spark, d), files.documents(spark, d))
+
+
+@query("chunk_store", _with(DOCS) + """ SELECT file_id, chunk_id, count(*) AS ref_count, min(offset_) AS first_offset, min(length) AS length,
+row_number() OVER (PARTITION BY file_id ORDER BY min(offset_)) - 1 AS "index" FROM c GROUP BY file_id, chunk_id""")
+def chunk_store(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.store(_cut(spark, d))
+
+
+@query("store_lookup", _with(DOCS, "s AS (SELECT file_id, chunk_id, count(*) AS ref_count, row_number() OVER (PARTITION BY file_id ORDER BY min(offset_)) - 1 AS i FROM c GROUP BY file_id, chunk_id)")
+       + " SELECT file_id, chunk_id, ref_count FROM s WHERE i = 1")
+def store_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.get_by_index(dedup.store(_cut(spark, d)), 1).select("file_id", "chunk_id", "ref_count")
+
+
+@query("toc_lookup", _with(DOCS, "k AS (SELECT min(chunk_id) AS chunk_id FROM c)") + " SELECT c.file_id, c.chunk_id, count(*) AS ref_count FROM c JOIN k ON c.chunk_id = k.chunk_id GROUP BY c.file_id, c.chunk_id")
+def toc_lookup(spark: SparkSession, d: str) -> DataFrame:
+    cut = _cut(spark, d)
+    wanted = cut.agg(F.min("chunk_id")).first()[0]
+    return dedup.get(dedup.store(cut), wanted or "").select("file_id", "chunk_id", "ref_count")
+
+
+@query("first_occurrences", _with(DOCS) + " SELECT file_id, seq, chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY file_id, offset_) = 1 AS is_new FROM c")
+def first_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.marked(_cut(spark, d).drop("data"), "corpus").select("file_id", "seq", "chunk_id", "is_new")
+
+
+_STATS = """of_chunk AS (SELECT file_id, chunk_id, count(*) AS n, min(length) AS length FROM c GROUP BY file_id, chunk_id),
+of_file AS (SELECT file_id, CAST(sum(n) AS BIGINT) AS chunk_count, count(*) AS unique_chunks, CAST(sum(n * length) AS BIGINT) AS total_bytes, CAST(sum((n - 1) * length) AS BIGINT) AS duplicate_bytes FROM of_chunk GROUP BY file_id)"""
+
+
+@query("path_choice", _with(DOCS, _STATS) + f""" SELECT file_id, chunk_count, unique_chunks, chunk_count - unique_chunks AS duplicate_chunks, total_bytes, duplicate_bytes,
+CAST(duplicate_bytes AS DOUBLE) / total_bytes AS dedup_fraction, CASE WHEN CAST(duplicate_bytes AS DOUBLE) / total_bytes < {O.number(V.DEDUP_THRESHOLD)} THEN 'single' ELSE 'chunked' END AS path FROM of_file""")
+def path_choice(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.file_stats(files.documents(spark, d), _cut(spark, d))
+
+
+@query("duplicate_files", "SELECT sha256(text) AS checksum, count(*) AS copies, min(doc_id) AS first_file FROM documents GROUP BY sha256(text) HAVING count(*) > 1")
+def duplicate_files(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.duplicate_files(files.documents(spark, d))
+
+
+_BENCH = O.chunk_rows("b", O.FILES["benchmark"], SMALL)
+
+
+@query("known_chunks", _with(DOCS, _BENCH) + " SELECT file_id, seq, chunk_id FROM c WHERE EXISTS (SELECT 1 FROM b WHERE b.chunk_id = c.chunk_id)")
+def known_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.contained(_cut(spark, d), _cut(spark, d, files.benchmark)).select("file_id", "seq", "chunk_id")
+
+
+@query("missing_chunks", _with(DOCS, _BENCH) + " SELECT file_id, seq, chunk_id FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.chunk_id = c.chunk_id)")
+def missing_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.missing(_cut(spark, d), _cut(spark, d, files.benchmark)).select("file_id", "seq", "chunk_id")
+
+
+# --- similarity ------------------------------------------------------------------
+
+
+def _unique_sql(scope: str) -> str:
+    if scope == "file":
+        return "u AS (SELECT file_id, chunk_id, length, h, row_number() OVER (PARTITION BY file_id ORDER BY offset_) - 1 AS useq FROM (SELECT *, row_number() OVER (PARTITION BY file_id, chunk_id ORDER BY offset_) AS nth FROM c) WHERE nth = 1)"
+    return "u AS (SELECT file_id, chunk_id, length, h, row_number() OVER (ORDER BY file_id, offset_) - 1 AS useq FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY file_id, offset_) AS nth FROM c) WHERE nth = 1)"
+
+
+def _pairs_sql(scope: str) -> str:
+    same = "a.file_id = b.file_id AND" if scope == "file" else ""
+    return f"""p AS (SELECT a.file_id, a.useq, a.chunk_id, b.chunk_id AS base_chunk_id, b.useq AS base_useq, a.length, {O.hamming("a.h", "b.h")} AS hamming,
+{O.hamming("a.h[:128]", "b.h[:128]")} AS head FROM u a JOIN u b ON {same} a.length = b.length AND b.useq BETWEEN a.useq - {V.WINDOW} AND a.useq - 1),
+q AS (SELECT *, CAST(1 AS DOUBLE) - CAST(hamming AS DOUBLE) / (8 * length) AS fidelity, CAST(1 AS DOUBLE) - CAST(head AS DOUBLE) / (8 * least(length, {V.PREFIX})) AS first_look FROM p)"""
+
+
+_BEST = f"""r AS (SELECT *, row_number() OVER (PARTITION BY file_id, useq ORDER BY fidelity DESC, base_useq) AS nth FROM q WHERE first_look >= {O.number(V.FIDELITY)} * {O.number(V.PREFIX_PART)})
+ SELECT file_id, useq, chunk_id, base_chunk_id, CAST(hamming AS BIGINT) AS hamming, fidelity FROM r WHERE nth = 1 AND fidelity >= {O.number(V.FIDELITY)}"""
+
+
+@query("near_duplicates", _with(PAGES, _unique_sql("file"), _pairs_sql("file"), _BEST))
+def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    unique = similarity.numbered(_cut(spark, d, files.pages))
+    return similarity.best_bases(unique).select("file_id", "useq", "chunk_id", "base_chunk_id", "hamming", "fidelity")
+
+
+@query("near_duplicates_corpus", _with(PAGES, _unique_sql("corpus"), _pairs_sql("corpus"), _BEST))
+def near_duplicates_corpus(spark: SparkSession, d: str) -> DataFrame:
+    unique = similarity.numbered(_cut(spark, d, files.pages), "corpus")
+    return similarity.best_bases(unique).select("file_id", "useq", "chunk_id", "base_chunk_id", "hamming", "fidelity")
+
+
+@query("candidate_pairs", _with(PAGES, _unique_sql("corpus"), _pairs_sql("corpus")) + " SELECT file_id, useq, base_useq, CAST(hamming AS BIGINT) AS hamming, 8 * length AS max_bits, fidelity FROM q")
+def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    unique = similarity.numbered(_cut(spark, d, files.pages), "corpus")
+    return similarity.best_bases(unique, everything=True).select("file_id", "useq", "base_useq", "hamming", "max_bits", "fidelity")
+
+
+_ADDRESSES = O.hamming("upper(sha256(text))", "upper(sha256(CAST(doc_id AS VARCHAR)))")
+
+
+@query("pair_correlation", f"SELECT doc_id, CAST({_ADDRESSES} AS BIGINT) AS hamming, CAST(256 AS BIGINT) AS max_bits, CAST(1 AS DOUBLE) - CAST({_ADDRESSES} AS DOUBLE) / 256 AS fidelity FROM documents")
+def pair_correlation(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "documents").select("doc_id", F.unhex(F.sha2("text", 256)).alias("a"), F.unhex(F.sha2(F.col("doc_id").cast("string"), 256)).alias("b"))
+    return rows.select("doc_id", *correlate(F.col("a"), F.col("b")))
+
+
+# --- codecs and routing ------------------------------------------------------------
+
+
+@query("quantize_bytes", _with(O.byte_rows("c", O.FILES["pages"]), "q AS (SELECT file_id, p, CASE WHEN bit_count(CAST(x AS SMALLINT)) <= 3 THEN x & 252 ELSE x END AS y FROM c_bytes)")
+       + " SELECT file_id, sha256(unhex(string_agg(printf('%02X', CAST(y AS INTEGER)), '' ORDER BY p))) AS checksum FROM q GROUP BY file_id")
+def quantize_bytes(spark: SparkSession, d: str) -> DataFrame:
+    return files.pages(spark, d).select("file_id", identity.chunk_id(codecs.quantized(F.col("content"), 3)).alias("checksum"))
+
+
+@query("xor_bytes", "SELECT doc_id, sha256(unhex(repeat('00', CAST(octet_length(encode(text)) AS INTEGER)))) AS checksum FROM documents")
+def xor_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Every text against itself: all zeros."""
+    rows = read_table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("x"))
+    residual = codecs.decoded("Zstd", codecs.encoded("Delta", F.col("x"), 3, F.col("x")), F.octet_length("x"))
+    return rows.select("doc_id", identity.chunk_id(residual).alias("checksum"))
+
+
+def _round_trip(name: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = files.documents(spark, d).select("file_id", "content", codecs.dictionary(F.col("content")).alias("dictionary"), F.encode(F.repeat(F.lit("a"), F.octet_length("content")), "UTF-8").alias("base"))
+        other = {"Delta": F.col("base"), "Zstd+dictionary": F.col("dictionary")}.get(name)
+        codec = name.split("+")[0]
+        packed = rows.select("file_id", "content", "dictionary", "base", codecs.encoded(codec, F.col("content"), 3, other).alias("packed"))
+        return packed.select("file_id", identity.file_checksum(codecs.decoded(codec, F.col("packed"), F.octet_length("content"), other)).alias("checksum"))
+
+    return run
+
+
+for _name in ("Identity", "Zstd", "Zstd+dictionary", "Lz4", "Delta"):
+    query(f"round_trip_{_name.lower().replace('+', '_')}", "SELECT doc_id AS file_id, sha256(text) AS checksum FROM documents")(_round_trip(_name))
+
+
+@query("dictionary_sample", f"""SELECT file_id, CASE WHEN n <= {V.DICTIONARY_MAX} THEN sha256(content) ELSE sha256(unhex({" || ".join(f"substr(h, 2 * {i} * (n // 16) + 1, {2 * V.DICTIONARY_SAMPLE})" for i in range(16))})) END AS checksum
+FROM (SELECT 0 AS file_id, content, hex(content) AS h, octet_length(content) AS n FROM (SELECT encode(string_agg(text, chr(10) ORDER BY doc_id)) AS content FROM documents)
+UNION ALL SELECT doc_id + 1, encode(text), hex(encode(text)), octet_length(encode(text)) FROM documents)""")
+def dictionary_sample(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents")
+    whole = docs.agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("t")).select(F.lit(0).cast("long").alias("file_id"), F.encode(F.array_join(F.transform("t", lambda x: x["text"]), "\n"), "UTF-8").alias("content"))
+    rows = whole.unionByName(docs.select((F.col("doc_id") + 1).alias("file_id"), F.encode("text", "UTF-8").alias("content")))
+    return rows.select("file_id", identity.chunk_id(codecs.dictionary(F.col("content"))).alias("checksum"))
+
+
+@query("standard_route", f"""SELECT class, level, CASE WHEN class = '{V.RANDOM}' THEN 'Lz4' WHEN class = '{V.SPARSE}' THEN 'Zstd' WHEN level = 'fast' THEN 'Lz4' ELSE 'Zstd' END AS codec,
+CASE WHEN class = '{V.SPARSE}' THEN 19 WHEN level = 'fast' THEN 1 WHEN level = 'default' THEN 3 ELSE 19 END AS zstd_level
+FROM (SELECT unnest(['{V.SPARSE}', '{V.STRUCTURED}', '{V.DENSE}', '{V.RANDOM}']) AS class), (SELECT unnest(['fast', 'default', 'best']) AS level)""")
+def standard_route(spark: SparkSession, d: str) -> DataFrame:
+    kinds = spark.createDataFrame([(k,) for k in (V.SPARSE, V.STRUCTURED, V.DENSE, V.RANDOM)], "class string")
+    out = None
+    for level in V.ZSTD_LEVEL:
+        codec, number = encode.standard_route(F.col("class"), level)
+        rows = kinds.select("class", F.lit(level).alias("level"), codec.alias("codec"), number.alias("zstd_level"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+# --- archives ------------------------------------------------------------------------
+
+
+def _archives(spark: SparkSession, d: str, source=files.documents, **options) -> encode.Archives:
+    return encode.compress(source(spark, d), encode.CompressConfig(chunk_params=SMALL, **options))
+
+
+@query("compress_stats", _with(PAGES, _STATS) + f""" SELECT file_id, total_bytes AS original_size, CASE WHEN single THEN 1 ELSE chunk_count END AS chunk_count, CASE WHEN single THEN 1 ELSE unique_chunks END AS unique_chunks,
+CASE WHEN single THEN 0 ELSE chunk_count - unique_chunks END AS duplicate_chunks FROM (SELECT *, CAST(duplicate_bytes AS DOUBLE) / total_bytes < {O.number(V.DEDUP_THRESHOLD)} AS single FROM of_file)""")
+def compress_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _archives(spark, d, files.pages).stats.select("file_id", "original_size", "chunk_count", "unique_chunks", "duplicate_chunks")
+
+
+@query("toc_offsets", _with(PAGES, _unique_sql("file")) + " SELECT file_id, useq, CAST(coalesce(sum(length) OVER (PARTITION BY file_id ORDER BY useq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS data_offset FROM u")
+def toc_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Where unique chunks would begin if they were stored as they are."""
+    from pyspark.sql import Window
+
+    unique = similarity.numbered(_cut(spark, d, files.pages))
+    before = F.sum("length").over(Window.partitionBy("file_id").orderBy("useq").rowsBetween(Window.unboundedPreceding, -1))
+    return unique.select("file_id", "useq", F.coalesce(before, F.lit(0)).cast("long").alias("data_offset"))
+
+
+def _restored(source, level: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = decode.decompress(_archives(spark, d, source, level=level))
+        return out.select("file_id", identity.file_checksum(F.col("content")).alias("checksum"), "status")
+
+    return run
+
+
+for _level in V.ZSTD_LEVEL:
+    query(f"restore_pages_{_level}", "SELECT page_id AS file_id, sha256(html) AS checksum, 'ok' AS status FROM pages")(_restored(files.pages, _level))
+query("restore_documents", "SELECT doc_id AS file_id, sha256(text) AS checksum, 'ok' AS status FROM documents")(_restored(files.documents, "default"))
+
+
+@query("restore_conversations", "SELECT conv_id AS file_id, sha256(string_agg(text, chr(10) ORDER BY turn, text)) AS checksum, 'ok' AS status FROM conversations GROUP BY conv_id")
+def restore_conversations(spark: SparkSession, d: str) -> DataFrame:
+    return _restored(files.conversations, "default")(spark, d)
+
+
+@query("restore_archive_files", "SELECT page_id AS file_id, sha256(html) AS checksum, 'ok' AS status FROM pages")
+def restore_archive_files(spark: SparkSession, d: str) -> DataFrame:
+    """Through the bytes of archive files and back."""
+    made = archive_file.to_files(_archives(spark, d, files.pages, emit_manifest=True, emit_certificates=True))
+    out = decode.decompress(archive_file.from_files(made))
+    return out.select("file_id", identity.file_checksum(F.col("content")).alias("checksum"), "status")
+
+
+@query("delta_chunks", _with(PAGES, _STATS, _unique_sql("file"), _pairs_sql("file"), _BEST.replace(" SELECT file_id, useq, chunk_id, base_chunk_id, CAST(hamming AS BIGINT) AS hamming, fidelity FROM r", " SELECT r.file_id, r.chunk_id, r.chunk_id AS checksum FROM r JOIN of_file f ON r.file_id = f.file_id")
+       .replace("WHERE nth = 1 AND", f"WHERE CAST(f.duplicate_bytes AS DOUBLE) / f.total_bytes >= {O.number(V.DEDUP_THRESHOLD)} AND nth = 1 AND")))
+def delta_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks stored as deltas, decoded along their chains."""
+    made = _archives(spark, d, files.pages)
+    deltas = made.toc.filter(F.col("tag") == codecs.TAGS["Delta"]).select("file_id", "chunk_id")
+    return decode.decode_chunks(made).join(deltas, ["file_id", "chunk_id"], "left_semi").select("file_id", "chunk_id", identity.chunk_id(F.col("data")).alias("checksum"))
+
+
+@query("verify_lossy", "SELECT page_id AS file_id, 'skipped_lossy' AS status FROM pages")
+def verify_lossy(spark: SparkSession, d: str) -> DataFrame:
+    return decode.verify(_archives(spark, d, files.pages, mode="lossy"))
+
+
+@query("bad_chunks", "SELECT CAST(NULL AS BIGINT) AS file_id, CAST(NULL AS VARCHAR) AS chunk_id, CAST(NULL AS VARCHAR) AS actual WHERE false")
+def bad_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return decode.bad_chunks(_archives(spark, d, files.pages))
+
+
+@query("inspect", _with(PAGES, _STATS) + f""" SELECT file_id, 1 AS version, total_bytes AS original_size, false AS is_lossy, NOT single AS has_manifest, single AS is_single_stream,
+CASE WHEN single THEN 1 ELSE unique_chunks END AS chunk_count FROM (SELECT *, CAST(duplicate_bytes AS DOUBLE) / total_bytes < {O.number(V.DEDUP_THRESHOLD)} AS single FROM of_file)""")
+def inspect(spark: SparkSession, d: str) -> DataFrame:
+    return decode.inspect(_archives(spark, d, files.pages, emit_manifest=True)).drop("file_map_count")
+
+
+@query("inspect_chunks")
+def inspect_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return decode.inspect_chunks(_archives(spark, d, files.pages))
+
+
+_CERT = f"'{V.CHUNK_URN}' || chunk_id[:16] || '|Identity|{V.COMPRESSED_URN}' || chunk_id || '|' || length || '|' || length"
+
+
+@query("certificate_ids", _with(PAGES, _unique_sql("file")) + f" SELECT file_id, useq, '{V.DERIVATION_URN}' || sha256({_CERT})[:16] AS derivation_id FROM u")
+def certificate_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Certificates of chunks stored as they are."""
+    unique = similarity.numbered(_cut(spark, d, files.pages))
+    none = F.lit(None)
+    rows = histogram.profiled(unique).withColumns({"tag": F.lit(codecs.TAGS["Identity"]), "payload": F.col("data"), "base_chunk_id": none.cast("string"), "fidelity": none.cast("double")})
+    return encode.certificates(rows, encode.CompressConfig()).select("file_id", "useq", "derivation_id")
+
+
+@query("manifest_nodes")
+def manifest_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _archives(spark, d, files.pages, emit_manifest=True, emit_certificates=True).manifests

@@ -78,12 +78,21 @@ def row_key(df: DataFrame) -> list[Column]:
     return [F.xxhash64(*columns, *flags), F.xxhash64(F.lit(1), *flags, *columns)]
 
 
-#: Rows of a batch, in the Parquet reader and on the way to Python.  The defaults
-#: (4096 and 10,000) make buffers of tens of MB where a row is a whole text.
-TEXT_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
+#: Batches in the Parquet reader and on the way to Python.  The defaults (4096
+#: rows; 10,000 rows or 64 MB) make large buffers where a row is a whole text.
+TEXT_BATCHES = {
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
+
+
+def for_texts(spark: SparkSession) -> SparkSession:
+    """The session with batches that suit tables of whole texts."""
+    for key, value in TEXT_BATCHES.items():
+        spark.conf.set(key, value)
+    return spark
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    for key, value in TEXT_ROWS.items():
-        spark.conf.set(key, value)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return for_texts(spark).read.parquet(f"{sf_dir}/{table}.parquet")
