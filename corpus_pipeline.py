@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from strata.llm import langid, linededup, mixing, packing, simhash
 from strata.llm.tokens import vocabulary_path
-from strata.spark import kept, materialize, read_table, row_key
+from strata.spark import for_texts, kept, materialize, read_table, row_key
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model rejects go: those without a letter, and
     those whose score is below its threshold."""
+    for_texts(spark)
     model = langid.learned(docs)
     found = langid.identify(docs, model, name="_lang_pred", score="_lang_score")
     return found.filter((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= F.lit(model.threshold))).select(*docs.columns)
@@ -24,6 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated three-line windows go from the texts, and n_chars follows."""
+    for_texts(spark)
     out = linededup.dedup(docs)
     return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
@@ -31,6 +33,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: the one with the smallest id,
     and of equal ids the row with the smallest hash."""
+    for_texts(spark)
     fps = kept(simhash.fingerprints(docs, keys=row_key(docs)))
     first = simhash.groups(fps).groupBy("root").agg(F.min(F.struct("doc_id", "key0", "key1")).alias("m"))
     first = first.select(F.col("m.key0").alias("_r1"), F.col("m.key1").alias("_r2"))
@@ -41,11 +44,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
+    for_texts(spark)
     return mixing.mixed(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences."""
+    for_texts(spark)
     return packing.pack(docs, vocabulary_path())
 
 
