@@ -35,12 +35,12 @@ from __future__ import annotations
 import hashlib
 import math
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +50,7 @@ from strata.spark import discard, materialize, read_table
 THRESHOLD = 50
 #: Lengths at which ranks are sorted; the first is a power of two.
 LENGTHS = (16, 32, 42)
-BLOCK_BYTES, SLICE, OWNER_BYTES = 2 << 20, 1 << 20, 16 << 20
+BLOCK_BYTES, SLICE, OWNER_BYTES = 1 << 20, 1 << 19, 8 << 20
 NULL_ID = -(1 << 63)
 UNIQUE, SETTLED, OPEN = 0, 1, 2
 
@@ -215,10 +215,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, by
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The texts in blocks of about BLOCK_BYTES, a longer text alone."""
+    """The texts in blocks of about BLOCK_BYTES, a longer text alone.
+
+    Their numbers are drawn at random: the table is written before it is read,
+    so each block has one number whatever runs again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = TaskContext.get().partitionId() << 32
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         data: list[np.ndarray] = []
@@ -226,7 +229,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         def flush() -> pa.RecordBatch:
             own = np.concatenate(ids)
             at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-            return _record([(n, TEXT, 0, pack(own, np.zeros(len(own), np.int64), at, np.concatenate(data), np.arange(len(own))))])
+            return _record([(uuid.uuid4().int >> 65, TEXT, 0, pack(own, np.zeros(len(own), np.int64), at, np.concatenate(data), np.arange(len(own))))])
 
         for b in batches:
             doc = b.column(0).fill_null(NULL_ID).to_numpy()
@@ -242,7 +245,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     a = to
                 if a < b.num_rows:
                     yield flush()
-                    n, ids, sizes, data = n + 1, [], [], []
+                    ids, sizes, data = [], [], []
         if ids:
             yield flush()
 
