@@ -380,7 +380,7 @@ def inspect(spark: SparkSession, d: str) -> DataFrame:
 
 @query("inspect_chunks")
 def inspect_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return decode.inspect_chunks(_archives(spark, d, files.pages))
+    return decode.inspect_chunks(_archives(spark, d, files.pages, mode="lossy"))
 
 
 _CERT = f"'{V.CHUNK_URN}' || chunk_id[:16] || '|Identity|{V.COMPRESSED_URN}' || chunk_id || '|' || length || '|' || length"
@@ -397,4 +397,4 @@ def certificate_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query("manifest_nodes")
 def manifest_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _archives(spark, d, files.pages, emit_manifest=True, emit_certificates=True).manifests
+    return _archives(spark, d, files.pages, mode="lossy", emit_manifest=True, emit_certificates=True).manifests

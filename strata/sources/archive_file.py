@@ -8,6 +8,7 @@ file source and so from any store; writing through a Python data source.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -172,7 +173,7 @@ class _Writer(DataSourceWriter):
     def write(self, rows) -> WriterCommitMessage:
         os.makedirs(self.folder, exist_ok=True)
         for row in rows:
-            name = str(row["file_id"]).replace("/", "_")
+            name = re.sub(r"[^\w.-]+", "_", str(row["file_id"])).lstrip("_.")
             part = os.path.join(self.folder, f".{name}.part")
             with open(part, "wb") as f:
                 f.write(row["archive"])

@@ -10,8 +10,16 @@ from strata.spark import read_table
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files; the path is the id."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_id"), "content")
+    """Whole files; the path is the id.
+
+    Spark's reader passes over empty files; they come from its list of files.
+    """
+    read = spark.read.format("binaryFile").load(path)
+    found = read.select(F.col("path").alias("file_id"), "content")
+    listed = spark.createDataFrame([(f,) for f in read.inputFiles()], "file_id string")
+    listed = listed.select(F.regexp_replace("file_id", "^([a-z0-9]+):///", "$1:/").alias("file_id"))
+    empty = listed.join(found.select("file_id"), "file_id", "left_anti").withColumn("content", F.lit(b""))
+    return found.unionByName(empty)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

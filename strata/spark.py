@@ -40,15 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or FALLBACK_DIR).rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, row_group: int = 128 << 20) -> DataFrame:
+def materialize(df: DataFrame, name: str, tasks: int | None = None, row_group: int = 128 << 20) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    It is written by as many tasks as the cluster has cores, so that many nearly
-    empty partitions don't become as many files.  The files go when the JVM ends.
+    By default it is written by as many tasks as the cluster has cores at most,
+    so that many nearly empty partitions don't become as many files; ``tasks``
+    sets another number, 0 leaves the partitions as they are.  The files go when
+    the JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.coalesce(spark.sparkContext.defaultParallelism).write.option("parquet.block.size", row_group).parquet(path)
+    few = df if tasks == 0 else df.coalesce(tasks or spark.sparkContext.defaultParallelism)
+    few.write.option("parquet.block.size", row_group).parquet(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
@@ -70,11 +73,16 @@ def discard(df: DataFrame) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever signs their names hold."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def row_key(df: DataFrame) -> list[Column]:
     """Two hashes of all columns (128 bits) that stand for a row; rows that are
     equal in all columns share them."""
-    flags = [F.col(f"`{c}`").isNull() for c in df.columns]
-    columns = [F.col(f"`{c}`") for c in df.columns]
+    columns = columns_of(df)
+    flags = [c.isNull() for c in columns]
     return [F.xxhash64(*columns, *flags), F.xxhash64(F.lit(1), *flags, *columns)]
 
 
