@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strata.llm import langid, linededup, mixing, packing, simhash
 from strata.llm.tokens import vocabulary_path
-from strata.spark import for_texts, kept, materialize, read_table, row_key
+from strata.spark import columns_of, for_texts, kept, materialize, read_table, row_key
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,14 +20,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     for_texts(spark)
     model = langid.learned(docs)
     found = langid.identify(docs, model, name="_lang_pred", score="_lang_score")
-    return found.filter((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= F.lit(model.threshold))).select(*docs.columns)
+    return found.filter((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= F.lit(model.threshold))).select(*columns_of(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated three-line windows go from the texts, and n_chars follows."""
     for_texts(spark)
     out = linededup.dedup(docs)
-    return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return out.select(*(F.length("text").cast("long").alias("n_chars") if name == "n_chars" else c for name, c in zip(docs.columns, columns_of(docs), strict=True)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = first.select(F.col("m.key0").alias("_r1"), F.col("m.key1").alias("_r2"))
     r1, r2 = row_key(docs)
     rows = docs.select("*", r1.alias("_r1"), r2.alias("_r2")).join(first, ["_r1", "_r2"])
-    return rows.dropDuplicates(["_r1", "_r2"]).select(*docs.columns)
+    return rows.dropDuplicates(["_r1", "_r2"]).select(*columns_of(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,5 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again for the next."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = materialize(stage(spark, docs, sf_dir), name, 0)
     return STAGES[-1][1](spark, docs, sf_dir)
