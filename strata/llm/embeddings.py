@@ -106,7 +106,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _bucket(label: np.ndarray, dim: int, table: int, chosen: np.ndarray) -> np.ndarray:
     """Keys of rows' buckets; chosen: (rows, hashes)."""
-    key = _mix(label.astype(np.int64).view(np.uint64) + np.uint64(dim << 16 | table))
+    key = _mix(_mix(label.astype(np.int64).view(np.uint64) + np.uint64(1)) ^ np.uint64(dim << 16 | table))
     for h in range(chosen.shape[1]):
         key = _mix(key ^ chosen[:, h].view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     return key.view(np.int64)
@@ -130,8 +130,8 @@ def _hashed(tables: Tables):
                         for probe in np.ndindex(*(PROBES,) * tables.hashes):
                             chosen = np.stack([codes[:, t, h, p] for h, p in enumerate(probe)], axis=1)
                             key = _bucket(label, dim, t, chosen)
-                            order = np.full(len(x), t, dtype=np.int32)
-                            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(order), own.column(0), own.column(1), own.column(2), packed], names=["bucket", "tab", "rep", "n", "label", "vec"])
+                            place = [np.full(len(x), n, dtype=np.int32) for n in (t, dim)]
+                            yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, place), own.column(0), own.column(1), own.column(2), packed], names=["bucket", "tab", "dim", "rep", "n", "label", "vec"])
 
     return run
 
@@ -152,19 +152,19 @@ def _first_meeting(a: np.ndarray, b: np.ndarray, table: int) -> np.ndarray:
 def _compare(tables: Tables, dtype: str):
     def run(rows: pa.Table, starts: list[int]) -> Iterator[pa.RecordBatch]:
         rep, n, label = (rows.column(c).to_numpy() for c in ("rep", "n", "label"))
-        bucket, tab, block = (rows.column(c).to_numpy() for c in ("bucket", "tab", "block"))
+        bucket, tab, block, lo, hi = (rows.column(c).to_numpy() for c in ("bucket", "tab", "block", "lo", "hi"))
         raw = rows.column("vec").to_pylist()
         links = np.zeros(rows.num_rows, dtype=np.int64)
         edges: list[tuple[int, int]] = []
         for a, b in zip(starts[:-1], starts[1:], strict=True):
-            if b - a < 2 or len({len(v) for v in raw[a:b]}) > 1:
+            if b - a < 2:
                 continue
             x = np.frombuffer(b"".join(raw[a:b]), dtype=dtype).reshape(b - a, -1).astype(np.float64)
             norm = np.sqrt((x * x).sum(1))
             linked = (x @ x.T) / (norm[:, None] * norm[None]) >= tables.threshold
             own = block[a:b]
             linked &= label[a:b][:, None] == label[a:b][None]
-            if own[0] != own[-1]:
+            if lo[a] != hi[a]:
                 linked &= own[:, None] != own[None]
             np.fill_diagonal(linked, False)
             if not linked.any():
@@ -202,9 +202,10 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     n, dim = merged.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     tables = choose(n, dim or 1, threshold)
     dtype = "<f8" if "double" in dict(merged.dtypes)["v"] else "<f4"
-    hashed = merged.select("rep", "n", "label", "v").mapInArrow(_hashed(tables), "bucket long, tab int, rep long, n long, label long, vec binary")
-    hashed = materialize(hashed, "hashed")
-    found = materialize(in_groups(paired(hashed, ["bucket"], "rep"), ["bucket"], "rep", _compare(tables, dtype), "rep long, links long, other long"), "found")
+    hashed = merged.select("rep", "n", "label", "v").mapInArrow(_hashed(tables), "bucket long, tab int, dim int, rep long, n long, label long, vec binary")
+    hashed = materialize(hashed, "hashed", 0)
+    keys = ["bucket", "tab", "dim"]
+    found = materialize(in_groups(paired(hashed, keys, "rep"), keys, "rep", _compare(tables, dtype), "rep long, links long, other long"), "found", 0)
     roots = components(found.filter("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     others = found.filter("other IS NULL").groupBy("rep").agg(F.sum("links").alias("links"))
     by_vector = merged.select("h1", "h2", "rep", "n").join(others, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")

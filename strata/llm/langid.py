@@ -73,8 +73,10 @@ def subwords(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(n):
             code = (code ^ folded[k : k + last]) * np.uint32(16777619)
             code ^= code >> np.uint32(15)
-        inside = edge[n - 1 : n - 1 + last] - edge[1 : 1 + last] == 0 if n > 1 else np.ones(last, dtype=bool)
-        keep = np.flatnonzero(inside & ((folded[:last] != 0) | (folded[n - 1 : n - 1 + last] != 0)) & (np.arange(last) < len(owner)))
+        inside = edge[n - 1 : n - 1 + last] == edge[1 : 1 + last]
+        if n == 2:  # two boundaries with nothing between them
+            inside &= (folded[:last] != 0) | (folded[1 : 1 + last] != 0)
+        keep = np.flatnonzero(inside & (np.arange(last) < len(owner)))
         index.append(owner[keep])
         bucket.append((code[keep] % np.uint32(BUCKETS)).astype(np.int64))
     return np.concatenate(index or [np.zeros(0, np.int64)]), np.concatenate(bucket or [np.zeros(0, np.int64)])

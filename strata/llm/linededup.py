@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.spark import read_table, row_key
+from strata.spark import columns_of, read_table, row_key
 
 WINDOW = 3
 INK = r"[^\x20\x09-\x0D]"
@@ -88,7 +88,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     joined = docs.select("*", r1.alias("_r1"), r2.alias("_r2")).join(found, ["_r1", "_r2"], "left")
     split = joined.withColumn("_lines", lines_of(F.col(text_col))).withColumn("_kept", F.when(F.col("_starts").isNotNull(), between(F.col("_lines"), F.col("_starts"), size)))
     text = F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    columns = [text.alias(c) if c == text_col else own for c, own in zip(docs.columns, columns_of(docs), strict=True)]
     total = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
     if n_lines:
         columns.append(F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(total).alias(n_lines))

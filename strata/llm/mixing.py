@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.textops import word_counts
-from strata.spark import materialize, read_table, row_key
+from strata.spark import columns_of, materialize, read_table, row_key
 
 WEIGHTS, SHARE, MOST_COPIES, SEED = (5, 2, 1), 1.0, 3, 2024
 GROUP, FAN_IN = 512, 64
@@ -179,7 +179,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     # equal rows stand for each other: one of them carries the copies of all
     once = docs.select("*", r1.alias("_r1"), r2.alias("_r2")).dropDuplicates(["_r1", "_r2"])
     rows = once.join(taken, ["_r1", "_r2"])
-    return rows.select(*docs.columns, F.explode(F.expr("sequence(1L, _total)")).alias("_copy")).drop("_copy")
+    return rows.select(*columns_of(docs), F.explode(F.expr("sequence(1L, _total)")).alias("_copy")).drop("_copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,8 +41,8 @@ from strata.llm.tokens import encoder, vocabulary_path
 from strata.spark import kept, read_table
 
 CAPACITY, END_ID, GRID, MAX_SLACK, GROUP = 2048, 1, 32, 2, 1024
-#: Sequences that one run of equal lengths fills before it starts afresh.
-RUN = 16
+#: Sequences and items of the longest run of equal lengths that is tried.
+RUN, RUN_ITEMS = 64, 4096
 
 ITEM = "doc_id long, doc_tokens long, whole_crc array<long>, rest int, rest_crc array<long>"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -140,7 +140,7 @@ def make_plan(counts: dict[int, int], capacity: int = CAPACITY, max_slack: int =
                 del left[k]
     rest: list[int] = []
     for length in sorted(aside, reverse=True):
-        template = _run_on([length] * (RUN * capacity // length), capacity, grid)
+        template = _run_on([length] * _fullest(length, capacity, grid), capacity, grid)
         times = aside[length] // template["uses"][length]
         if times:
             plan.append(template | {"times": times})
@@ -150,6 +150,22 @@ def make_plan(counts: dict[int, int], capacity: int = CAPACITY, max_slack: int =
     return plan
 
 
+def _fullest(length: int, capacity: int, grid: int) -> int:
+    """How many items of a length, one after the other, leave least room."""
+    best, fill, sequences, at = 1, 0.0, 1, 0
+    for k in range(1, min(RUN_ITEMS, RUN * capacity // length) + 1):
+        need = length
+        while need > capacity - at:
+            need -= (capacity - at) // grid * grid
+            sequences, at = sequences + 1, 0
+        at += need
+        if k * length / (sequences * capacity) > fill:
+            best, fill = k, k * length / (sequences * capacity)
+        if at == capacity:
+            break
+    return best
+
+
 def _run_on(lengths: list[int], capacity: int, grid: int) -> dict:
     """Items one after the other; one that doesn't fit is cut on the grid."""
     sequence, at, slots = 0, 0, {}

@@ -138,10 +138,12 @@ def _search(codes: list[int], first: int, radius: int) -> list[tuple[int, int]]:
 
 def _compare(radius: int):
     def run(rows: pa.Table, starts: list[int]) -> Iterator[pa.RecordBatch]:
-        fps, block = rows.column("fp").to_numpy(), rows.column("block").to_numpy()
+        fps, block, lo, hi = (rows.column(c).to_numpy() for c in ("fp", "block", "lo", "hi"))
         codes = fps.view(np.uint64).tolist()
         edges: list[tuple[int, int]] = []
         for a, b in zip(starts[:-1], starts[1:], strict=True):
+            if lo[a] != hi[a] and block[a] == block[b - 1]:
+                continue
             if b - a == 2:
                 if (codes[a] ^ codes[a + 1]).bit_count() <= radius:
                     edges.append((a, a + 1))

@@ -50,7 +50,7 @@ from strata.spark import discard, materialize, read_table
 THRESHOLD = 50
 #: Lengths at which ranks are sorted; the first is a power of two.
 LENGTHS = (16, 32, 42)
-BLOCK_BYTES, SLICE, OWNER_BYTES = 1 << 20, 1 << 19, 8 << 20
+BLOCK_BYTES, SLICE, OWNER_BYTES, TASK_BYTES = 1 << 20, 1 << 19, 8 << 20, 32 << 20
 NULL_ID = -(1 << 63)
 UNIQUE, SETTLED, OPEN = 0, 1, 2
 
@@ -250,7 +250,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, TABLE), "blocks", row_group=16 << 20)
+    return materialize(rows.mapInArrow(run, TABLE), "blocks", 0, 16 << 20)
 
 
 def _ask(length: int, threshold: int, owners: int):
@@ -409,12 +409,13 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id"
     whole = blocks(docs, id_col, text_col)
     total = whole.agg(F.sum(F.length("blob"))).first()[0] or 0
     owners = max(1, math.ceil(2.5 * total / OWNER_BYTES))
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(2.5 * total / TASK_BYTES))
     spread = lambda df, *keys: df.repartition(*keys).sortWithinPartitions(*keys, "kind", "owner")
     texts, spans = whole, None
     for length in [n for n in LENGTHS if n < threshold] + [threshold]:
         asked = texts.mapInArrow(_ask(length, threshold, owners), TABLE).repartition("owner").sortWithinPartitions("owner", "block")
-        replies = materialize(asked.mapInArrow(_reply(length, threshold), TABLE), "replies")
-        after = materialize(spread(texts.unionByName(replies), "block").mapInArrow(_settle(length, threshold, owners), TABLE), "settled")
+        replies = materialize(asked.mapInArrow(_reply(length, threshold), TABLE), "replies", tasks)
+        after = materialize(spread(texts.unionByName(replies), "block").mapInArrow(_settle(length, threshold, owners), TABLE), "settled", tasks)
         discard(replies)
         settled = after.filter(F.col("kind") == SPANS)
         spans = settled if spans is None else spans.unionByName(settled)
