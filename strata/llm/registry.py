@@ -26,5 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_suffix_dedup": suffixes.ORACLE,
         "op9_line_dedup": linededup.ORACLE,
     }

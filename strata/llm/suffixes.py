@@ -428,3 +428,19 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id"
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: bytes of every document that repeat a smaller document's."""
     return repeated(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE = """
+WITH f AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+u AS (SELECT doc_id, unnest(range(greatest(n - 49, 0))) AS p, unnest(list_transform(range(greatest(n - 49, 0)), lambda i: b[i + 1:i + 50])) AS s FROM f),
+m AS (SELECT s, min(doc_id) AS first_id FROM u GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+c AS (SELECT u.doc_id, u.p FROM u JOIN m ON u.s = m.s WHERE u.doc_id > m.first_id),
+g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM c),
+r AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM s),
+t AS (SELECT k.doc_id, sum(z - a) AS removed, count(*) AS spans, max(z) AS last, string_agg(hex(f.b[before + 1:a]), '' ORDER BY a) AS head FROM k JOIN f ON k.doc_id = f.doc_id GROUP BY k.doc_id)
+SELECT f.doc_id, CAST(f.n AS BIGINT) AS n_bytes, CAST(coalesce(t.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(t.spans, 0) AS BIGINT) AS n_spans,
+CASE WHEN t.doc_id IS NULL THEN sha256(f.b) ELSE sha256(unhex(t.head || hex(f.b[t.last + 1:f.n]))) END AS kept_sha256
+FROM f LEFT JOIN t ON f.doc_id = t.doc_id
+"""
