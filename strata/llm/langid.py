@@ -40,7 +40,8 @@ BUCKETS, SIZES, DIM = 1 << 14, (2, 3, 4), 16
 SAMPLE, ASIDE, EPOCHS, RATE, SEED = 4_000, 5, 6, 4.0, 11
 CLEAN_REJECTED, HIGHEST_THRESHOLD = 0.002, 0.4
 UNKNOWN = "und"
-PART = 1 << 22
+#: Bytes of text that are cut into subwords at a time.
+PART = 1 << 20
 
 ASCII_LETTER = regex.compile(rb"[A-Za-z]")
 LETTER = regex.compile(r"\p{L}")
