@@ -5,7 +5,6 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from strata.llm import embeddings, linededup, simhash
 from strata.llm.components import components
