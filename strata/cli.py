@@ -14,12 +14,13 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.errors import StrataError
+from strata.errors import InvalidArchive, StrataError
 from strata.functions import fixed_values as V
 from strata.operators import decode, encode
 from strata.operators.dedup import ratio
 from strata.sources import archive_file
 from strata.sources.files import read_files
+from strata.spark import kept
 
 
 def parser() -> argparse.ArgumentParser:
@@ -37,7 +38,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--verify", action="store_true")
     d = sub.add_parser("decompress", aliases=["d"])
     d.add_argument("input")
-    d.add_argument("-o", "--output", required=True)
+    d.add_argument("-o", "--output")
+    d.add_argument("--verify", action="store_true", help="write nothing if an archive is damaged")
     i = sub.add_parser("inspect", aliases=["i"])
     i.add_argument("archive")
     i.add_argument("--chunks", action="store_true")
@@ -79,9 +81,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             archive_file.write_archives(made, args.output or args.input + V.EXTENSION)
             show(made.stats.withColumn("ratio", ratio(F.col("original_size"), F.col("compressed_size"))))
         elif args.command in ("decompress", "d"):
-            out = decode.decompress(archive_file.read_archives(spark, args.input))
-            out.write.mode("overwrite").parquet(args.output)
-            show(out.groupBy("status", "is_lossy").count())
+            out = kept(decode.decompress(archive_file.read_archives(spark, args.input)))
+            bad = out.filter(~F.col("status").isin("ok", "skipped_lossy")).select("file_id", "status").first()
+            if bad and args.verify:
+                raise InvalidArchive(f"{bad['file_id']}: {bad['status']}")
+            stem = args.input.removesuffix("/")
+            folder = args.output or (stem.removesuffix(V.EXTENSION) if stem.endswith(V.EXTENSION) else stem + ".out")
+            names = out.withColumn("file_id", F.regexp_replace("file_id", f"\\{V.EXTENSION}$", ""))
+            archive_file.write_files(names, folder)
+            show(out.groupBy("status", "is_lossy").agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("content")).alias("original_size"), F.sum("chunks").alias("chunks")))
         elif args.command in ("inspect", "i"):
             read = archive_file.read_archives(spark, args.archive)
             show(read.manifests if args.manifest else decode.inspect(read))

@@ -167,8 +167,8 @@ def read_archives(spark: SparkSession, path: str) -> Archives:
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, extension: str):
+        self.folder, self.extension = folder, extension
 
     def write(self, rows) -> WriterCommitMessage:
         os.makedirs(self.folder, exist_ok=True)
@@ -176,27 +176,31 @@ class _Writer(DataSourceWriter):
             name = re.sub(r"[^\w.-]+", "_", str(row["file_id"])).lstrip("_.")
             part = os.path.join(self.folder, f".{name}.part")
             with open(part, "wb") as f:
-                f.write(row["archive"])
-            os.replace(part, os.path.join(self.folder, name + V.EXTENSION))
+                f.write(row["content"])
+            os.replace(part, os.path.join(self.folder, name + self.extension))
         return WriterCommitMessage()
 
 
-class ArchiveFiles(DataSource):
-    """Sink: a file for each row (file_id, archive) in a folder that all
-    executors share."""
+class WholeFiles(DataSource):
+    """Sink: a file for each row (file_id, content) in a folder that all
+    executors share; the option ``extension`` goes behind its name."""
 
     @classmethod
     def name(cls) -> str:
-        return "strata_archive"
+        return "strata_files"
 
     def schema(self) -> str:
-        return "file_id string, archive binary"
+        return "file_id string, content binary"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], self.options.get("extension", ""))
+
+
+def write_files(rows: DataFrame, folder: str, extension: str = "") -> None:
+    """A file for each row of (file_id, content)."""
+    rows.sparkSession.dataSource.register(WholeFiles)
+    rows.select(F.col("file_id").cast("string").alias("file_id"), "content").write.format("strata_files").option("extension", extension).mode("append").save(folder)
 
 
 def write_archives(archives: Archives, folder: str) -> None:
-    files = to_files(archives)
-    files.sparkSession.dataSource.register(ArchiveFiles)
-    files.withColumn("file_id", F.col("file_id").cast("string")).write.format("strata_archive").mode("append").save(folder)
+    write_files(to_files(archives).withColumnRenamed("archive", "content"), folder, V.EXTENSION)
