@@ -37,6 +37,7 @@ import math
 import pickle
 import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -173,7 +174,7 @@ class Entries:
 
     def parts(self) -> Iterator[tuple[int, slice]]:
         at = np.flatnonzero(np.diff(self.bucket, prepend=-1))
-        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(self.bucket)], strict=True):
+        for a, b in pairwise([*at.tolist(), len(self.bucket)]):
             yield int(self.bucket[a]), slice(a, b)
 
 

@@ -68,6 +68,14 @@ def test_empty_table(spark):
     assert suffixes.repeated(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+@pytest.mark.parametrize("long", [[], [(90, "a passage that two documents hold and that is long enough " * 2), (91, "a passage that two documents hold and that is long enough " * 2)]])
+def test_texts_below_the_threshold(spark, long):
+    """Partitions without a single window, alone and next to others."""
+    rows = [(i, (None, "", "short", "x" * 49)[i % 4]) for i in range(24)] + long
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6, "doc_id")
+    assert sorted((tuple(r) for r in suffixes.repeated(df).collect()), key=repr) == brute(rows)
+
+
 def test_a_threshold_below_the_first_length(spark):
     with pytest.raises(ValueError):
         suffixes.repeated(spark.createDataFrame([], "doc_id long, text string"), 10)
