@@ -7,6 +7,11 @@ of the piece's prefix, which is remembered by prefix string.  Counts at piece
 ends never fall, so the longest prefix within a budget is found by bisection
 and a look inside one piece.
 
+Inside a long piece the table goes on by pre-token, and inside a long pre-token
+by byte: of all tokens that end at a byte, the last of the prefix's own is the one
+that its merges leave beside the last token before it, so its count is one more
+than the count there (``Merges``).  That takes time linear in the piece.
+
 Scale: one scan, no shuffle.  ``prefix_counts`` returns one integer for each
 code point and is meant for texts that will be cut at several budgets;
 ``count_tokens`` keeps the table of piece ends only while it is needed.
@@ -18,6 +23,8 @@ that repeat are counted each.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
@@ -33,16 +40,117 @@ from strata.spark import read_table
 BUDGET = 2048
 
 
-class Prefixes:
-    """Counts of the prefixes of pieces, remembered by prefix string."""
+class Merges:
+    """Token counts of the prefixes of one pre-token, from the file's merges."""
 
     MOST = 300_000
 
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.suffix = model["end_of_word_suffix"]
+        self.vocab = model["vocab"]
+        self.rank = {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): i for i, m in enumerate(model["merges"])}
+        self.longest = max(len(t.removesuffix(self.suffix)) for t in self.vocab)
+        self.beside: dict[tuple[str, str, bool], bool] = {}
+
+    def _merged(self, parts: list[str]) -> list[str]:
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), len(self.rank)))
+            if (parts[best], parts[best + 1]) not in self.rank:
+                break
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        return parts
+
+    def _stays(self, left: str, right: str, last: bool) -> bool:
+        """Whether the merges of left + right end in these two tokens."""
+        key = (left, right, last)
+        if (found := self.beside.get(key)) is None:
+            if len(self.beside) > self.MOST:
+                self.beside = {}
+            end = self.suffix if last else ""
+            symbols = [*left, *right]
+            symbols[-1] += end
+            found = self.beside[key] = self._merged(symbols) == ([left, right + end] if left else [right + end])
+        return found
+
+    def _token(self, symbols: str, to: int, tokens: list[str], last: bool) -> str:
+        end = self.suffix if last else ""
+        for n in range(min(self.longest, to), 0, -1):
+            token = symbols[to - n : to]
+            if token + end in self.vocab and self._stays(tokens[to - n], token, last):
+                return token
+        raise ValueError("no token ends here")
+
+    def counts(self, symbols: str) -> list[int]:
+        """Tokens of symbols[:1], symbols[:2], ..., each as a whole word."""
+        tokens, inner, out = [""], [0], []
+        for to in range(1, len(symbols) + 1):
+            out.append(inner[to - len(self._token(symbols, to, tokens, True))] + 1)
+            token = self._token(symbols, to, tokens, False)
+            tokens.append(token)
+            inner.append(inner[to - len(token)] + 1)
+        return out
+
+
+class Prefixes:
+    """Counts of the prefixes of pieces, remembered by prefix string.
+
+    Pieces of more than ``LONG`` characters are cut into pre-tokens.  Where a long
+    piece isn't in normal form or holds a special token, or the file is of another
+    kind, its prefixes are encoded in small batches and not remembered: little
+    memory, but time that grows with the square of the piece.
+    """
+
+    MOST, LONG, BATCH = 300_000, 64, 1 << 22
+
     def __init__(self, enc: Encoder):
-        self.enc, self.known = enc, {}
+        self.enc, self.known, self.merges = enc, {}, None
 
     def inside(self, piece: str) -> list[int]:
         """Tokens of piece[:1], piece[:2], ..., piece."""
+        if len(piece) <= self.LONG:
+            return self._short(piece)
+        found = self._long(piece) if self.enc.ends is not None else None
+        return self._each(piece) if found is None else found
+
+    def _each(self, piece: str) -> list[int]:
+        out: list[int] = []
+        step = max(1, self.BATCH // len(piece))
+        for at in range(1, len(piece) + 1, step):
+            part = [piece[:i] for i in range(at, min(at + step, len(piece) + 1))]
+            out += [len(x.ids) for x in self.enc.library.encode_batch_fast(part, add_special_tokens=False)]
+        return out
+
+    def _long(self, piece: str) -> list[int] | None:
+        library = self.enc.library
+        if any(t.content in piece for t in library.get_added_tokens_decoder().values()):
+            return None
+        # then each prefix is in normal form too
+        if not unicodedata.is_normalized("NFC", piece):
+            return None
+        each = {c: library.normalizer.normalize_str(c) for c in set(piece)}
+        text = library.normalizer.normalize_str(piece)
+        if "".join(each[c] for c in piece) != text:
+            return None
+        of_char, before = [], 0
+        for symbols, (a, z) in library.pre_tokenizer.pre_tokenize_str(text):
+            run = text[a:z]
+            if z - a <= self.LONG:
+                counts = self._short(run)
+            else:
+                self.merges = self.merges or Merges(self.enc.path)
+                by_symbol = self.merges.counts(symbols)
+                counts = [by_symbol[n - 1] for n in accumulate(len(c.encode("utf-8")) for c in run)]
+            if len(of_char) != a:
+                return None
+            of_char += [before + n for n in counts]
+            before = of_char[-1]
+        if len(of_char) != len(text) or before != len(library.encode(piece, add_special_tokens=False).ids):
+            return None
+        return [of_char[n - 1] for n in accumulate(len(each[c]) for c in piece)]
+
+    def _short(self, piece: str) -> list[int]:
         new = [p for i in range(1, len(piece) + 1) if (p := piece[:i]) not in self.known]
         if new:
             if len(self.known) > self.MOST:

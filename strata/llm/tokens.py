@@ -74,6 +74,7 @@ class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
+        self.path = path
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -63,6 +64,28 @@ def test_every_prefix(spark, docs):
         assert found[i] == [len(library(t[:p])) for p in range(len(t) + 1)], t
 
 
+LONG = "abcdefgh" * 9 + "é" * 70 + "Überlänge12<|x|>'re'll" + "theinandtothe" * 9 + "日本語のテキスト" * 12 + "İΣ" * 9 + "!?" * 70 + "'s"
+
+
+@pytest.mark.parametrize("text", [LONG, "Qm9v" * 40 + LONG[::-1], "e\u0301" * 50, "か\u3099" * 40, "||<|endoftext|>" * 9, "\u1112\u1161\u11ab" * 30, "x" * 300, "สวัสดี" * 20])
+def test_prefixes_of_long_pieces(text):
+    assert token_counts.Prefixes(encoder(PATH)).inside(text) == [len(library(text[:i])) for i in range(1, len(text) + 1)]
+
+
+@pytest.mark.parametrize("sign", ["q3Zk", "日本語文", "="])
+def test_long_pieces_take_little_memory(sign):
+    """A piece of 20,000 characters: its prefixes alone would be 200 MB."""
+    rng = random.Random(4)
+    text = "".join(rng.choice(sign) for _ in range(20_000))
+    prefixes = token_counts.Prefixes(encoder(PATH))
+    tracemalloc.start()
+    found = prefixes.inside(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 << 20
+    assert [found[i - 1] for i in (1, 70, 999, 20_000)] == [len(library(text[:i])) for i in (1, 70, 999, 20_000)]
+
+
 def check_plan(counts: dict[int, int], capacity: int = 2048) -> float:
     places = packing.Places(packing.make_plan(counts, capacity))
     held: dict[int, list] = {}
