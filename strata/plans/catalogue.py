@@ -6,8 +6,9 @@ Chunk queries use small chunk sizes, so that texts of a few kB have several.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions import fixed_values as V
@@ -17,7 +18,7 @@ from strata.operators import chunking, codecs, decode, dedup, encode, similarity
 from strata.operators.chunking import SMALL, ChunkParams
 from strata.plans import oracle as O
 from strata.sources import archive_file, files
-from strata.spark import read_table
+from strata.spark import materialize, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -286,9 +287,34 @@ FROM (SELECT 0 AS file_id, content, hex(content) AS h, octet_length(content) AS
 UNION ALL SELECT doc_id + 1, encode(text), hex(encode(text)), octet_length(encode(text)) FROM documents)""")
 def dictionary_sample(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents")
-    whole = docs.agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("t")).select(F.lit(0).cast("long").alias("file_id"), F.encode(F.array_join(F.transform("t", lambda x: x["text"]), "\n"), "UTF-8").alias("content"))
-    rows = whole.unionByName(docs.select((F.col("doc_id") + 1).alias("file_id"), F.encode("text", "UTF-8").alias("content")))
-    return rows.select("file_id", identity.chunk_id(codecs.dictionary(F.col("content"))).alias("checksum"))
+    whole = _joined_samples(docs).select(F.lit(0).cast("long").alias("file_id"), identity.chunk_id(F.col("content")).alias("checksum"))
+    rows = docs.select((F.col("doc_id") + 1).alias("file_id"), identity.chunk_id(codecs.dictionary(F.encode("text", "UTF-8"))).alias("checksum"))
+    return whole.unionByName(rows)
+
+
+def _joined_samples(docs: DataFrame) -> DataFrame:
+    """content: the dictionary of all texts joined by newlines, in the order of doc_id.
+
+    The joined texts are never made: places are running sums of lengths, and only
+    the bytes of the samples (64 KiB) come together.
+    """
+    ordered = docs.filter(F.col("text").isNotNull()).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    texts = materialize(ordered.select(F.monotonically_increasing_id().alias("place"), F.concat(F.encode("text", "UTF-8"), F.encode(F.lit("\n"), "UTF-8")).alias("line")), "lines", 0)
+    sizes = texts.select("place", F.shiftright("place", 33).alias("part"), F.octet_length("line").cast("long").alias("n"))
+    of_part = sizes.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    before = dict(zip((r["part"] for r in of_part), accumulate((r["n"] for r in of_part), initial=0), strict=False))
+    total = max(0, sum(r["n"] for r in of_part) - 1)
+    step = total // V.DICTIONARY_SAMPLES
+    wanted = [(0, total)] if total <= V.DICTIONARY_MAX else [(step * i, min(step * i + V.DICTIONARY_SAMPLE, total)) for i in range(V.DICTIONARY_SAMPLES)]
+    parts = docs.sparkSession.createDataFrame(list(before.items()), "part long, first long")
+    within = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    at = sizes.withColumn("so_far", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(parts), "part").select("place", "n", (F.col("first") + F.col("so_far")).alias("at"))
+    ranges = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(a).cast("long").alias("a"), F.lit(z).cast("long").alias("z")) for k, (a, z) in enumerate(wanted)))
+    hit = at.select("place", "at", "n", F.explode(F.filter(ranges, lambda r: (r["a"] < F.col("at") + F.col("n")) & (r["z"] > F.col("at")))).alias("r"))
+    start = F.greatest(F.col("r.a") - F.col("at"), F.lit(0))
+    cut = F.substring("line", (start + 1).cast("int"), (F.least(F.col("r.z") - F.col("at"), F.col("n")) - start).cast("int"))
+    pieces = texts.join(F.broadcast(hit), "place").select(F.struct(F.col("r.k"), "at", F.hex(cut).alias("piece")).alias("p"))
+    return pieces.agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["piece"]), "")).alias("content"))
 
 
 @query("standard_route", f"""SELECT class, level, CASE WHEN class = '{V.RANDOM}' THEN 'Lz4' WHEN class = '{V.SPARSE}' THEN 'Zstd' WHEN level = 'fast' THEN 'Lz4' ELSE 'Zstd' END AS codec,

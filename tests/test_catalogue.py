@@ -35,6 +35,16 @@ def test_query_without_sql(spark, tiny, name):
     assert catalogue.QUERIES[name](spark, tiny).count() > 0
 
 
+@pytest.mark.parametrize("rows", [[], [(2, "b" * 9), (1, None), (2, "a"), (1, ""), (None, "é")], [(i // 3, f"{i} é" * (i % 977)) for i in range(3000)]])
+def test_samples_of_joined_texts(spark, rows):
+    """From the bytes that they hold, without a row of all texts."""
+    out = catalogue._joined_samples(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    whole = "\n".join(t for _, t in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is not None, r))).encode()
+    step = len(whole) // 16
+    expected = whole if len(whole) <= 65536 else b"".join(whole[step * i : step * i + 4096] for i in range(16))
+    assert [bytes(r["content"]) for r in out.collect()] == [expected]
+
+
 def test_entry(spark):
     import __spark_entry__
 
