@@ -87,6 +87,53 @@ def test_contexts_discover(spark):
     assert got[13] == "found:17:30" and got[14] == ""
 
 
+def key(rng: random.Random, n: int = 40) -> str:
+    return "".join(rng.choices("0123456789abcdef", k=n))
+
+
+def prose(rng: random.Random) -> str:
+    return " ".join(rng.choices(["the", "of", "and", "house", "river", "walks", "old,", "green."], k=12))
+
+
+def test_key_contexts(spark):
+    """Long hexadecimal values teach a context; values of other shapes in it are
+    found, and digits in prose are not, however many seeds stand in prose."""
+    rng = random.Random(8)
+    rows, expected, at = [], {}, 0
+    for i in range(300):
+        a, b = prose(rng), prose(rng)
+        kind = i % 6
+        value = key(rng) if kind < 3 else rng.choice(["ab-12", "x9", "s3cret_" + "word" * 30]) if kind == 3 else None
+        if value:
+            rows.append((i, f'{a} token = "{value}" {b}'))
+            expected[i] = f"found:{len(a) + 10}:{len(a) + 10 + len(value)}"
+        else:
+            rows.append((i, f"{a} {rng.randrange(10**15, 10**16)} {b}" if kind == 4 else f"{a} reader{i}@mail.example.com {b}"))
+    rows += [(1000 + i, f"{prose(rng)} {key(rng)} {prose(rng)}") for i in range(3)]
+    rows += [rows[0]] * 50  # equal rows count alike beside a value and without one
+    out = pii.by_document(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    got = {r["doc_id"]: ",".join(s for s in r["spans"].split(",") if s.startswith("found")) for r in out}
+    assert len(out) == len(rows)
+    assert {i: s for i, s in got.items() if s} == expected
+    assert all(r["private"] == (r["spans"] != "") for r in out)
+
+
+def test_long_words_in_contexts(spark):
+    long = "w" * 5_000
+    rows = [(i, f"{long} {key(random.Random(i))}") for i in range(10)] + [(20, f"{long} v1"), (21, "w" * 4_999 + " v1"), (22, "1" * 200_000)]
+    got = {r["doc_id"]: r["n_found"] for r in pii.by_document(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict.fromkeys(range(10), 1), 20: 1, 21: 0, 22: 0}
+
+
+def test_longer_patterns_overrule(spark):
+    """Beside "key" stand keys, but beside "public key" mostly other things."""
+    rng = random.Random(2)
+    rows = [(i, f"{prose(rng)} {rng.choice(['my', 'our', 'one', 'an', 'her', 'his'])}{'abcdefghij'[i % 10]} key {key(rng)}") for i in range(40)]
+    rows += [(100 + i, f"{prose(rng)} public key {i}9") for i in range(6)] + [(200, f"{prose(rng)} spare key 55")]
+    got = {r["doc_id"]: r["n_found"] for r in pii.by_document(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == 1 for i in range(40)) and got[200] == 1 and not any(got[100 + i] for i in range(6))
+
+
 def test_rounds(spark):
     edges = [("L a", f"s{i}", 1.0) for i in range(4)] + [("L a", "x", 0.0), ("L b", "x", 0.0), ("L b", "y", 0.0), ("L c", "s1", 1.0), *(("L d", f"s{i}", 1.0) for i in range(2)), *(("L d", f"n{i}", 0.0) for i in range(9))]
     df = spark.createDataFrame(edges, "pattern string, instance string, seed double")
