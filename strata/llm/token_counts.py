@@ -2,23 +2,22 @@
 
 For a text cut into white-space-separated pieces w0, w1, ... the table is filled
 from left to right: the count at the end of a piece is the count before it plus
-the piece's own, and the count inside a piece is the count before it plus that
-of the piece's prefix, which is remembered by prefix string.  Counts at piece
-ends never fall, so the longest prefix within a budget is found by bisection
-and a look inside one piece.
-
-Inside a long piece the table goes on by pre-token, and inside a long pre-token
-by byte: of all tokens that end at a byte, the last of the prefix's own is the one
-that its merges leave beside the last token before it, so its count is one more
-than the count there (``Merges``).  That takes time linear in the piece.
+the piece's own, and inside a piece the table goes on by pre-token and by byte.
+Of all tokens that end at a byte, the last of the prefix's own is the one that its
+merges leave beside the last token before it, so its count is one more than the
+count there (``Merges``).  No prefix is encoded again, and time and memory are
+linear in the piece.  Counts at piece ends never fall, so the longest prefix within
+a budget is found by bisection and a look inside one piece, of which no more is
+looked at than the budget's tokens can cover.
 
 Scale: one scan, no shuffle.  ``prefix_counts`` returns one integer for each
 code point and is meant for texts that will be cut at several budgets;
 ``count_tokens`` keeps the table of piece ends only while it is needed.
 
 Cases: a null text counts as empty: no tokens, and a table of one zero.  An
-input without rows gives none.  Other columns of the input are not read; rows
-that repeat are counted each.
+input without rows gives none.  Very long texts are counted whole; so are long texts
+without white space.  Other columns of the input are not read, whatever their
+names; rows that repeat are counted each.
 """
 
 from __future__ import annotations
@@ -94,25 +93,36 @@ class Merges:
 
 
 class Prefixes:
-    """Counts of the prefixes of pieces, remembered by prefix string.
+    """Counts of the prefixes of pieces; those of short pieces are remembered.
 
-    Pieces of more than ``LONG`` characters are cut into pre-tokens.  Where a long
-    piece isn't in normal form or holds a special token, or the file is of another
-    kind, its prefixes are encoded in small batches and not remembered: little
-    memory, but time that grows with the square of the piece.
+    Where a piece isn't in normal form or holds a special token, or the file is of
+    another kind, its prefixes are encoded in small batches: little memory, but time
+    that grows with the square of the piece.
     """
 
-    MOST, LONG, BATCH = 300_000, 64, 1 << 22
+    MOST, LONG, BATCH = 50_000, 64, 1 << 22
 
     def __init__(self, enc: Encoder):
-        self.enc, self.known, self.merges = enc, {}, None
-
-    def inside(self, piece: str) -> list[int]:
-        """Tokens of piece[:1], piece[:2], ..., piece."""
-        if len(piece) <= self.LONG:
-            return self._short(piece)
-        found = self._long(piece) if self.enc.ends is not None else None
-        return self._each(piece) if found is None else found
+        self.enc, self.known, self._merges = enc, {}, None
+
+    @property
+    def merges(self) -> Merges:
+        self._merges = self._merges or Merges(self.enc.path)
+        return self._merges
+
+    def inside(self, piece: str, most: int | None = None) -> list[int]:
+        """Tokens of piece[:1], piece[:2], ..., piece; with ``most``, at least those
+        that don't exceed it."""
+        if most is not None and self.enc.ends is not None:
+            piece = piece[: most * self.merges.longest + 1]
+        if (found := self.known.get(piece)) is None:
+            found = self._table(piece) if self.enc.ends is not None else None
+            found = self._each(piece) if found is None else found
+            if len(piece) <= self.LONG:
+                if len(self.known) > self.MOST:
+                    self.known = {}
+                self.known[piece] = found
+        return found
 
     def _each(self, piece: str) -> list[int]:
         out: list[int] = []
@@ -122,7 +132,7 @@ class Prefixes:
             out += [len(x.ids) for x in self.enc.library.encode_batch_fast(part, add_special_tokens=False)]
         return out
 
-    def _long(self, piece: str) -> list[int] | None:
+    def _table(self, piece: str) -> list[int] | None:
         library = self.enc.library
         if any(t.content in piece for t in library.get_added_tokens_decoder().values()):
             return None
@@ -136,10 +146,10 @@ class Prefixes:
         of_char, before = [], 0
         for symbols, (a, z) in library.pre_tokenizer.pre_tokenize_str(text):
             run = text[a:z]
-            if z - a <= self.LONG:
-                counts = self._short(run)
+            if run[0] == "'" and z - a <= 3:
+                # a prefix of a contraction is cut otherwise
+                counts = self._each(run)
             else:
-                self.merges = self.merges or Merges(self.enc.path)
                 by_symbol = self.merges.counts(symbols)
                 counts = [by_symbol[n - 1] for n in accumulate(len(c.encode("utf-8")) for c in run)]
             if len(of_char) != a:
@@ -150,16 +160,6 @@ class Prefixes:
             return None
         return [of_char[n - 1] for n in accumulate(len(each[c]) for c in piece)]
 
-    def _short(self, piece: str) -> list[int]:
-        new = [p for i in range(1, len(piece) + 1) if (p := piece[:i]) not in self.known]
-        if new:
-            if len(self.known) > self.MOST:
-                self.known, new = {}, [piece[:i] for i in range(1, len(piece) + 1)]
-            for at in range(0, len(new), 1000):
-                part = new[at : at + 1000]
-                self.known.update((p, len(x.ids)) for p, x in zip(part, self.enc.library.encode_batch(part, add_special_tokens=False), strict=True))
-        return [self.known[piece[:i]] for i in range(1, len(piece) + 1)]
-
 
 def table(text: str, pieces: list[bytes], counts: list[int], prefixes: Prefixes) -> list[int]:
     """Tokens of text[:0], text[:1], ..., text."""
@@ -186,7 +186,7 @@ def longest_within(text: bytes, pieces: list[bytes], ends: list[int], budget: in
     for p in pieces[:fit]:
         at = text.index(p, at) + len(p)
     at = text.index(pieces[fit], at)
-    inner = prefixes.inside(pieces[fit].decode("utf-8"))
+    inner = prefixes.inside(pieces[fit].decode("utf-8"), budget - ends[fit])
     part = max((i + 1 for i, n in enumerate(inner) if ends[fit] + n <= budget), default=0)
     return len(text[:at].decode("utf-8")) + part
 

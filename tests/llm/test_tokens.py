@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 import tracemalloc
 import zlib
 
@@ -86,6 +87,43 @@ def test_long_pieces_take_little_memory(sign):
     assert [found[i - 1] for i in (1, 70, 999, 20_000)] == [len(library(text[:i])) for i in (1, 70, 999, 20_000)]
 
 
+@pytest.mark.parametrize("sign", ["abcdefghijklmnopqrstuvwxyz", "theinagro", "aé!1'st", "q3ZkLm0p+/", "日本語文か", "'sreld"])
+def test_pieces_of_200_signs(sign):
+    rng = random.Random(sign)
+    prefixes = token_counts.Prefixes(encoder(PATH))
+    for _ in range(4):
+        text = "".join(rng.choices(sign, k=200))
+        assert prefixes.inside(text) == [len(library(text[:i])) for i in range(1, 201)], text
+
+
+@pytest.mark.parametrize("sign", ["abcdefghijklmnopqrstuvwxyz", "q3ZkLm0p+/", "x"])
+def test_a_megabyte_without_white_space(sign):
+    """The budget is looked up in little memory, and no further than it reaches."""
+    text = "".join(random.Random(7).choices(sign, k=1 << 20))
+    prefixes, n = token_counts.Prefixes(encoder(PATH)), len(library(text))
+    began = time.time()
+    tracemalloc.start()
+    fit = token_counts.longest_within(text.encode(), [text.encode()], [0, n], 2048, prefixes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20 and time.time() - began < 60
+    assert len(library(text[:fit])) <= 2048 and all(len(library(text[: fit + i])) > 2048 for i in range(1, 40))
+
+
+def test_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert token_counts.count_tokens(none, PATH).collect() == [] and token_counts.prefix_counts(none, PATH).collect() == []
+
+
+def test_very_long_text(spark):
+    text = "the quick brown fox jumps over it. " * 60_000
+    rows = spark.createDataFrame([(1, text), (2, "x" * 300_000)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in token_counts.count_tokens(rows, PATH).collect()}
+    assert found[1]["n_tokens"] == len(library(text)) and found[1]["n_bytes"] == len(text) and found[1]["over_limit"]
+    assert found[2]["n_tokens"] == len(library("x" * 300_000))
+    assert len(library(text[: found[1]["fit_chars"]])) == 2048 and len(library("x" * found[2]["fit_chars"])) == 2048
+
+
 def check_plan(counts: dict[int, int], capacity: int = 2048) -> float:
     places = packing.Places(packing.make_plan(counts, capacity))
     held: dict[int, list] = {}
