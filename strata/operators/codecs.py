@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +30,27 @@ def tag_name(tag: int) -> str:
     return NAMES[tag]
 
 
-def _dictionary(raw: bytes | None) -> zstandard.ZstdCompressionDict | None:
-    return zstandard.ZstdCompressionDict(raw) if raw else None
+@lru_cache(maxsize=8)
+def _compressor(level: int, dictionary: bytes | None) -> zstandard.ZstdCompressor:
+    if not dictionary:
+        return zstandard.ZstdCompressor(level=level)
+    prepared = zstandard.ZstdCompressionDict(dictionary)
+    prepared.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(dict_data=prepared)
+
+
+@lru_cache(maxsize=8)
+def _decompressor(dictionary: bytes | None) -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
 
 def zstd(data: bytes, level: int = 3, dictionary: bytes | None = None) -> bytes:
-    return zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary)).compress(data)
+    return _compressor(level, dictionary or None).compress(data)
 
 
 def unzstd(data: bytes, size: int, dictionary: bytes | None = None) -> bytes:
     try:
-        return zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary)).decompress(data, max_output_size=max(size, 1))
+        return _decompressor(dictionary or None).decompress(data, max_output_size=max(size, 1))
     except zstandard.ZstdError as e:
         raise DecompressError(str(e)) from e
 

@@ -89,29 +89,43 @@ def route(kind: Column, has_base: Column, config: CompressConfig) -> tuple[Colum
 
 
 def _encode(threshold: int):
-    """Adds (tag, payload) to (..., codec, level, data, dictionary, base)."""
+    """Adds (tag, payload) to (..., codec, level, data, dictionary, base).  A row
+    without a codec brings the dictionary of the rows behind it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dictionary = None
         for b in batches:
             at = {n: b.schema.get_field_index(n) for n in ("codec", "level", "data", "dictionary", "base")}
-            tags, payloads = [], []
-            for codec, level, data, dictionary, base in zip(*(b.column(at[n]).to_pylist() for n in at), strict=True):
-                tag = codecs.TAGS[codec]
+            codec_of, level_of = (b.column(at[n]).to_pylist() for n in ("codec", "level"))
+            tags, payloads, rows = [], [], []
+            for i, (codec, level) in enumerate(zip(codec_of, level_of, strict=True)):
+                if codec is None:
+                    dictionary = b.column(at["dictionary"])[i].as_py()
+                    continue
+                tag, data, base = codecs.TAGS[codec], b.column(at["data"])[i].as_py(), b.column(at["base"])[i].as_py()
                 payload = codecs.encode_bytes(tag, data, level=level, dictionary=dictionary, base=base, threshold=threshold)
                 if codec not in ("Delta", "Quantized") and len(payload) >= len(data):
                     tag, payload = codecs.TAGS["Identity"], data
+                rows.append(i)
                 tags.append(tag)
                 payloads.append(payload)
             keep = [i for i, n in enumerate(b.schema.names) if n not in at]
             names = [b.schema.names[i] for i in keep]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(tags, pa.int32()), pa.array(payloads, pa.binary())], names=[*names, "tag", "payload"])
+            chosen = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(chosen) for i in keep), pa.array(tags, pa.int32()), pa.array(payloads, pa.binary())], names=[*names, "tag", "payload"])
 
     return run
 
 
-def _run_encode(rows: DataFrame, threshold: int) -> DataFrame:
+def _run_encode(rows: DataFrame, threshold: int, dictionaries: DataFrame | None = None) -> DataFrame:
+    """``rows`` encoded; each file's dictionary goes to its task once, ahead of the
+    file's chunks."""
     spent = {"codec", "level", "data", "dictionary", "base"}
     fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n not in spent)
+    rows = rows.withColumn("dictionary", F.lit(None).cast("binary"))
+    if dictionaries is not None:
+        first = dictionaries.select("file_id", F.lit(-1).cast("long").alias("useq"), "dictionary")
+        rows = rows.unionByName(first, allowMissingColumns=True).repartition("file_id").sortWithinPartitions("file_id", "useq")
     return rows.mapInArrow(_encode(threshold), f"{fields}, tag int, payload binary")
 
 
@@ -146,14 +160,14 @@ def compress(files: DataFrame, config: CompressConfig = CompressConfig()) -> Arc
     whole = F.octet_length("content").cast("long")
     base = by_path.select("file_id", "path", whole.alias("original_size"), file_checksum(F.col("content")).alias("checksum"), "chunk_count", "unique_chunks", "duplicate_chunks")
 
-    single = by_path.filter("path = 'single'").select("file_id", F.lit("Zstd").alias("codec"), F.lit(V.ZSTD_LEVEL[config.level]).alias("level"), F.col("content").alias("data"), F.lit(None).cast("binary").alias("dictionary"), F.lit(None).cast("binary").alias("base"))
+    single = by_path.filter("path = 'single'").select("file_id", F.lit("Zstd").alias("codec"), F.lit(V.ZSTD_LEVEL[config.level]).alias("level"), F.col("content").alias("data"), F.lit(None).cast("binary").alias("base"))
     frames = kept(_run_encode(single, config.stratum_threshold))
 
     chunked = by_path.filter("path = 'chunked'").select("file_id", codecs.dictionary(F.col("content")).alias("dictionary"))
     dictionaries = kept(chunked)
     occurrences = cut.join(dictionaries.select("file_id"), "file_id", "left_semi")
-    rows = unique_chunks(occurrences, config).join(dictionaries, "file_id")
-    coded = kept(_run_encode(rows.select("file_id", "useq", "chunk_id", "length", "class", *BINS, "base_chunk_id", "fidelity", "codec", "level", "data", "dictionary", "base"), config.stratum_threshold))
+    rows = unique_chunks(occurrences, config).select("file_id", "useq", "chunk_id", "length", "class", *BINS, "base_chunk_id", "fidelity", "codec", "level", "data", "base")
+    coded = kept(_run_encode(rows, config.stratum_threshold, dictionaries))
 
     size = F.octet_length("payload").cast("long")
     prefix = coded.join(dictionaries.select("file_id", (F.lit(V.HEADER_BYTES + 4) + F.octet_length("dictionary")).cast("long").alias("start")), "file_id")
