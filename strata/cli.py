@@ -87,7 +87,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 raise InvalidArchive(f"{bad['file_id']}: {bad['status']}")
             stem = args.input.removesuffix("/")
             folder = args.output or (stem.removesuffix(V.EXTENSION) if stem.endswith(V.EXTENSION) else stem + ".out")
-            names = out.withColumn("file_id", F.regexp_replace("file_id", f"\\{V.EXTENSION}$", ""))
+            name = F.regexp_replace(F.regexp_extract("file_id", "[^/]*$", 0), f"\\{V.EXTENSION}$", "")
+            names = out.withColumn("file_id", F.coalesce(F.try_url_decode(name), name))
             archive_file.write_files(names, folder)
             show(out.groupBy("status", "is_lossy").agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("content")).alias("original_size"), F.sum("chunks").alias("chunks")))
         elif args.command in ("inspect", "i"):

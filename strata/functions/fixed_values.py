@@ -33,7 +33,7 @@ SPARSE_LEVEL, QUANTIZED_LEVEL, CLEARED_BITS = 19, 3, 2
 LOSSY_FIDELITY, LOSSLESS_FIDELITY = 0.95, 1.0
 
 # Fixed values. Archive files.
-MAGIC, VERSION, HEADER_BYTES = bytes.fromhex("554f52c04d500100"), 1, 88
+MAGIC, VERSION, HEADER_BYTES = b"UOR\xc0MP\x01\x00", 1, 88
 LOSSY, HAS_MANIFEST, HAS_CERTIFICATES, VERIFIED, SINGLE_STREAM, HAS_DICTIONARY = 1, 2, 4, 8, 16, 32
 EXTENSION = ".uorc"
 

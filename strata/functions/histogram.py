@@ -53,52 +53,69 @@ def total() -> Column:
     return _sum([F.col(b) for b in BINS])
 
 
-def _guarded(x: Column) -> Column:
-    return F.when(total() == 0, F.lit(0.0)).otherwise(x)
+# Each of the following takes the total (and the mean) where a query has them as
+# columns already, so that they are computed once a row.
 
 
-def density(k: int) -> Column:
-    return _guarded(F.col(BINS[k]).cast("double") / total())
+def _guarded(x: Column, n: Column) -> Column:
+    return F.when(n == 0, F.lit(0.0)).otherwise(x)
 
 
-def mean() -> Column:
-    return _guarded(_sum([F.col(b) * k for k, b in enumerate(BINS)]).cast("double") / total())
+def density(k: int, n: Column | None = None) -> Column:
+    n = total() if n is None else n
+    return _guarded(F.col(BINS[k]).cast("double") / n, n)
 
 
-def variance() -> Column:
-    m = mean()
-    return _guarded(_sum([(F.lit(float(k)) - m) * (F.lit(float(k)) - m) * F.col(b).cast("double") for k, b in enumerate(BINS)]) / total())
+def mean(n: Column | None = None) -> Column:
+    n = total() if n is None else n
+    return _guarded(_sum([F.col(b) * k for k, b in enumerate(BINS)]).cast("double") / n, n)
 
 
-def extreme_density() -> Column:
-    return _guarded((F.col("b0") + F.col("b8")).cast("double") / total())
+def variance(n: Column | None = None, m: Column | None = None) -> Column:
+    n = total() if n is None else n
+    m = mean(n) if m is None else m
+    return _guarded(_sum([(F.lit(float(k)) - m) * (F.lit(float(k)) - m) * F.col(b).cast("double") for k, b in enumerate(BINS)]) / n, n)
 
 
-def summary() -> Column:
+def extreme_density(n: Column | None = None) -> Column:
+    n = total() if n is None else n
+    return _guarded((F.col("b0") + F.col("b8")).cast("double") / n, n)
+
+
+def summary(n: Column | None = None) -> Column:
     """Each bin as one byte: its share of 255, cut off."""
-    return F.array(*(_guarded(F.least(F.lit(255.0), F.floor(F.col(b).cast("double") / total() * F.lit(255.0)).cast("double"))).cast("int") for b in BINS))
+    n = total() if n is None else n
+    return F.array(*(_guarded(F.least(F.lit(255.0), F.floor(F.col(b).cast("double") / n * F.lit(255.0)).cast("double")), n).cast("int") for b in BINS))
 
 
-def chi_square() -> Column:
+def chi_square(n: Column | None = None) -> Column:
     """Distance from the bit counts of random bytes, on shares."""
+    n = total() if n is None else n
     terms = []
     for k, b in enumerate(BINS):
         expected = F.lit(comb(8, k) / 256.0)
-        off = F.col(b).cast("double") / total() - expected
+        off = F.col(b).cast("double") / n - expected
         terms.append(off * off / expected)
-    return _guarded(_sum(terms))
+    return _guarded(_sum(terms), n)
 
 
-def classify() -> Column:
+def classify(n: Column | None = None, m: Column | None = None) -> Column:
+    n = total() if n is None else n
+    m = mean(n) if m is None else m
     return (
-        F.when(total() == 0, V.SPARSE)
-        .when(extreme_density() > F.lit(V.SPARSE_ABOVE), V.SPARSE)
-        .when(chi_square() < F.lit(V.RANDOM_BELOW), V.RANDOM)
-        .when((mean() >= F.lit(V.STRUCTURED_MEAN[0])) & (mean() <= F.lit(V.STRUCTURED_MEAN[1])) & (variance() < F.lit(V.STRUCTURED_VARIANCE)), V.STRUCTURED)
+        F.when(n == 0, V.SPARSE)
+        .when(extreme_density(n) > F.lit(V.SPARSE_ABOVE), V.SPARSE)
+        .when(chi_square(n) < F.lit(V.RANDOM_BELOW), V.RANDOM)
+        .when((m >= F.lit(V.STRUCTURED_MEAN[0])) & (m <= F.lit(V.STRUCTURED_MEAN[1])) & (variance(n, m) < F.lit(V.STRUCTURED_VARIANCE)), V.STRUCTURED)
         .otherwise(V.DENSE)
     )
 
 
+def measured(df: DataFrame, data: str = "data") -> DataFrame:
+    """``df`` with b0..b8, their total and their mean."""
+    return with_bins(df, data).withColumn("_n", total()).withColumn("_mean", mean(F.col("_n")))
+
+
 def profiled(df: DataFrame, data: str = "data") -> DataFrame:
     """``df`` with b0..b8 and the class of each byte string."""
-    return with_bins(df, data).withColumn("class", classify())
+    return measured(df, data).withColumn("class", classify(F.col("_n"), F.col("_mean"))).drop("_n", "_mean")

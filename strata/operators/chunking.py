@@ -12,6 +12,7 @@ Scale: chunking is a scan; a file is one row and is cut where it is read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -96,10 +97,11 @@ def ends(data: np.ndarray, params: ChunkParams, hashes: np.ndarray | None = None
     return out
 
 
-def chunks(files: DataFrame, params: ChunkParams = ChunkParams(), id_col: str = "file_id", content_col: str = "content") -> DataFrame:
+def chunks(files: DataFrame, params: ChunkParams = ChunkParams(), id_col: str = "file_id", content_col: str = "content", data: bool = True) -> DataFrame:
     """(file_id, seq, offset, length, chunk_id, data), one row for each chunk.
 
-    A null or empty content has no chunks.
+    A null or empty content has no chunks.  Without ``data`` chunks are hashed where
+    they are cut and their bytes stay there.
     """
     bits = params.bits
 
@@ -116,14 +118,17 @@ def chunks(files: DataFrame, params: ChunkParams = ChunkParams(), id_col: str =
                 seq += range(len(cuts))
                 begin += [0, *cuts[:-1]] if cuts else []
                 stop += cuts
-            data = [whole[at[i] + a : at[i] + z].tobytes() for i, a, z in zip(owner, begin, stop, strict=True)]
+            cut_out = (whole[at[i] + a : at[i] + z] for i, a, z in zip(owner, begin, stop, strict=True))
+            last = pa.array([x.tobytes() for x in cut_out], pa.binary()) if data else pa.array([hashlib.sha256(x).hexdigest() for x in cut_out], pa.string())
             ids = b.column(0).take(pa.array(owner, pa.int64()))
-            arrays = [ids, pa.array(seq, pa.int64()), pa.array(begin, pa.int64()), pa.array(np.subtract(stop, begin), pa.int64()) if stop else pa.array([], pa.int64()), pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["file_id", "seq", "offset", "length", "data"])
+            arrays = [ids, pa.array(seq, pa.int64()), pa.array(begin, pa.int64()), pa.array(np.subtract(stop, begin), pa.int64()) if stop else pa.array([], pa.int64()), last]
+            yield pa.RecordBatch.from_arrays(arrays, names=["file_id", "seq", "offset", "length", "data" if data else "chunk_id"])
 
     kind = files.select(id_col).dtypes[0][1]
     rows = files.select(F.col(id_col).alias("file_id"), F.col(content_col).cast("binary").alias("content"))
-    cut = rows.mapInArrow(run, f"file_id {kind}, seq long, offset long, length long, data binary")
+    cut = rows.mapInArrow(run, f"file_id {kind}, seq long, offset long, length long, {'data binary' if data else 'chunk_id string'}")
+    if not data:
+        return cut
     return cut.select("file_id", "seq", "offset", "length", chunk_id(F.col("data")).alias("chunk_id"), "data")
 
 

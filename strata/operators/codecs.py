@@ -127,6 +127,22 @@ def decode_bytes(tag: int, data: bytes, size: int, **options) -> bytes:
     return REGISTRY[tag][1](data, size, options)
 
 
+def name_of(tag: Column) -> Column:
+    """The name of each tag; an unknown one is an error."""
+    names = F.create_map(*(x for name, number in TAGS.items() for x in (F.lit(number), F.lit(name))))
+    return F.coalesce(names[tag], F.raise_error(F.concat(F.lit("no codec has the tag "), tag.cast("string"))))
+
+
+def xored(a: Column, b: Column) -> Column:
+    """Two binary columns byte by byte, as far as the shorter goes."""
+
+    @F.arrow_udf("binary")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([xor_bytes(x.as_py(), y.as_py()) if x.is_valid and y.is_valid else None for x, y in zip(a, b, strict=True)], pa.binary())
+
+    return run(a, b)
+
+
 def _bytes(x: pa.Scalar) -> bytes | None:
     return x.as_py()
 

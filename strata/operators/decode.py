@@ -24,6 +24,7 @@ from strata.errors import IntegrityFailure, InvalidArchive
 from strata.functions import fixed_values as V
 from strata.functions.identity import chunk_id
 from strata.operators import codecs
+from strata.operators.dedup import ratio
 from strata.operators.encode import Archives
 
 DELTA, REFERENCE = codecs.TAGS["Delta"], codecs.TAGS["Reference"]
@@ -225,6 +226,4 @@ def inspect(archives: Archives) -> DataFrame:
 
 def inspect_chunks(archives: Archives) -> DataFrame:
     """The table of contents with the ratio of each chunk."""
-    names = F.create_map(*(x for name, tag in codecs.TAGS.items() for x in (F.lit(tag), F.lit(name))))
-    ratio = F.when(F.col("compressed_size") > 0, F.col("original_size").cast("double") / F.col("compressed_size")).otherwise(F.lit(0.0))
-    return archives.toc.filter(F.col("chunk_id").isNotNull()).select("file_id", "useq", "chunk_id", names[F.col("tag")].alias("backend"), "original_size", "compressed_size", ratio.alias("ratio"))
+    return archives.toc.filter(F.col("chunk_id").isNotNull()).select("file_id", "useq", "chunk_id", codecs.name_of(F.col("tag")).alias("backend"), "original_size", "compressed_size", ratio(F.col("original_size"), F.col("compressed_size")).alias("ratio"))

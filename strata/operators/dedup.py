@@ -51,6 +51,15 @@ def get_by_index(stored: DataFrame, index: int) -> DataFrame:
     return stored.filter(F.col("index") == index)
 
 
+def is_empty(stored: DataFrame) -> bool:
+    return stored.isEmpty()
+
+
+def in_order(stored: DataFrame) -> DataFrame:
+    """The unique chunks by file and index, sorted over the whole table."""
+    return stored.sort("file_id", "index")
+
+
 def contained(cut: DataFrame, known: DataFrame) -> DataFrame:
     """Rows whose chunk is known."""
     return cut.join(known.select("chunk_id").distinct(), "chunk_id", "left_semi")

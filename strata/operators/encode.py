@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -49,9 +49,9 @@ class CompressConfig:
 
     def __post_init__(self):
         if self.mode not in ("lossless", "lossy"):
-            raise ValueError(f"unknown mode: {self.mode} (use 'lossless' or 'lossy')")
+            raise ValueError(f"{self.mode!r} is no mode; choose lossless or lossy")
         if self.level not in V.ZSTD_LEVEL:
-            raise ValueError(f"unknown level: {self.level} (use 'fast', 'default', or 'best')")
+            raise ValueError(f"{self.level!r} is no level; choose one of {', '.join(V.ZSTD_LEVEL)}")
 
     @property
     def lossy(self) -> bool:
@@ -70,6 +70,10 @@ class Archives:
     manifests: DataFrame
     stats: DataFrame
 
+    def named(self, file_id: Column) -> Archives:
+        """The same archives under other ids, which must stay different."""
+        return Archives(*(getattr(self, f.name).withColumn("file_id", file_id) for f in fields(self)))
+
 
 def standard_route(kind: Column, level: str) -> tuple[Column, Column]:
     """(codec, zstd level) by class, before anything is encoded."""
@@ -117,7 +121,7 @@ def _encode(threshold: int):
     return run
 
 
-def _run_encode(rows: DataFrame, threshold: int, dictionaries: DataFrame | None = None) -> DataFrame:
+def encoded_rows(rows: DataFrame, threshold: int = 2, dictionaries: DataFrame | None = None) -> DataFrame:
     """``rows`` encoded; each file's dictionary goes to its task once, ahead of the
     file's chunks."""
     spent = {"codec", "level", "data", "dictionary", "base"}
@@ -161,13 +165,13 @@ def compress(files: DataFrame, config: CompressConfig = CompressConfig()) -> Arc
     base = by_path.select("file_id", "path", whole.alias("original_size"), file_checksum(F.col("content")).alias("checksum"), "chunk_count", "unique_chunks", "duplicate_chunks")
 
     single = by_path.filter("path = 'single'").select("file_id", F.lit("Zstd").alias("codec"), F.lit(V.ZSTD_LEVEL[config.level]).alias("level"), F.col("content").alias("data"), F.lit(None).cast("binary").alias("base"))
-    frames = kept(_run_encode(single, config.stratum_threshold))
+    frames = kept(encoded_rows(single, config.stratum_threshold))
 
     chunked = by_path.filter("path = 'chunked'").select("file_id", codecs.dictionary(F.col("content")).alias("dictionary"))
     dictionaries = kept(chunked)
     occurrences = cut.join(dictionaries.select("file_id"), "file_id", "left_semi")
     rows = unique_chunks(occurrences, config).select("file_id", "useq", "chunk_id", "length", "class", *BINS, "base_chunk_id", "fidelity", "codec", "level", "data", "base")
-    coded = kept(_run_encode(rows, config.stratum_threshold, dictionaries))
+    coded = kept(encoded_rows(rows, config.stratum_threshold, dictionaries))
 
     size = F.octet_length("payload").cast("long")
     prefix = coded.join(dictionaries.select("file_id", (F.lit(V.HEADER_BYTES + 4) + F.octet_length("dictionary")).cast("long").alias("start")), "file_id")
@@ -218,8 +222,7 @@ def compress(files: DataFrame, config: CompressConfig = CompressConfig()) -> Arc
 
 def certificates(coded: DataFrame, config: CompressConfig) -> DataFrame:
     """One certificate for each unique chunk of the chunked files."""
-    names = F.create_map(*(x for name, tag in codecs.TAGS.items() for x in (F.lit(tag), F.lit(name))))
-    backend, size = names[F.col("tag")], F.octet_length("payload").cast("long")
+    backend, size = codecs.name_of(F.col("tag")), F.octet_length("payload").cast("long")
     source, result = urn(F.col("chunk_id")), F.concat(F.lit(V.COMPRESSED_URN), chunk_id(F.col("payload")))
     told = F.concat_ws("|", source, backend, result, F.col("length").cast("string"), size.cast("string"))
     return coded.select(

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,9 @@ def numbered(cut: DataFrame, scope: str = "file") -> DataFrame:
     """The first occurrence of each chunk, with ``useq``, its number among the
     unique chunks of its file or of the corpus."""
     keys = ["file_id", "chunk_id"] if scope == "file" else ["chunk_id"]
-    first = cut.groupBy(*keys).agg(F.min_by(F.struct("file_id", "offset", "seq", "length", "data"), F.struct("file_id", "offset")).alias("f"))
-    rows = first.select("chunk_id", "f.*")
+    # places are compared first; the bytes of the first occurrence are joined back
+    first = cut.groupBy(*keys).agg(F.min(F.struct("file_id", "offset")).alias("f")).select("chunk_id", "f.*")
+    rows = cut.select("file_id", "offset", "seq", "length", "data").join(first, ["file_id", "offset"])
     if scope == "file":
         return rows.withColumn("useq", (F.row_number().over(Window.partitionBy("file_id").orderBy("offset")) - 1).cast("long")).withColumn("space", F.col("file_id").cast("string"))
     per_file = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
@@ -43,7 +45,13 @@ def numbered(cut: DataFrame, scope: str = "file") -> DataFrame:
     part = F.floor(F.col("k") / 4096)
     in_part = F.sum("n").over(Window.partitionBy(part).orderBy("k")) - F.col("n")
     parts = ranked.groupBy(part.alias("part")).agg(F.sum("n").alias("n"))
-    before = parts.select(F.col("part").alias("of_part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    # sums over parts of 4096 parts, and over these: no window holds more rows
+    upper = F.floor(F.col("part") / 4096)
+    uppers = parts.groupBy(upper.alias("upper")).agg(F.sum("n").alias("n")).sort("upper").collect()
+    ahead = list(zip((r["upper"] for r in uppers), accumulate((r["n"] for r in uppers), initial=0), strict=False))
+    ahead = per_file.sparkSession.createDataFrame(ahead, "upper long, ahead long")
+    in_upper = F.sum("n").over(Window.partitionBy("upper").orderBy("part")) - F.col("n")
+    before = parts.withColumn("upper", upper).withColumn("in_upper", in_upper).join(F.broadcast(ahead), "upper").select(F.col("part").alias("of_part"), (F.col("in_upper") + F.col("ahead")).alias("before"))
     starts = ranked.select("file_id", part.alias("part"), in_part.alias("in_part")).join(before, F.col("part") == F.col("of_part")).select("file_id", (F.col("in_part") + F.col("before")).alias("start"))
     own = F.row_number().over(Window.partitionBy("file_id").orderBy("offset")) - 1
     return rows.withColumn("own", own).join(starts, "file_id").withColumn("useq", (F.col("start") + F.col("own")).cast("long")).drop("own", "start").withColumn("space", F.lit("corpus"))

@@ -5,10 +5,12 @@ Chunk queries use small chunk sizes, so that texts of a few kB have several.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions import fixed_values as V
@@ -18,7 +20,7 @@ from strata.operators import chunking, codecs, decode, dedup, encode, similarity
 from strata.operators.chunking import SMALL, ChunkParams
 from strata.plans import oracle as O
 from strata.sources import archive_file, files
-from strata.spark import materialize, read_table
+from strata.spark import materialize, read_table, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,6 +49,11 @@ def _cut(spark: SparkSession, d: str, source=files.documents, params: ChunkParam
     return chunking.chunks(source(spark, d), params)
 
 
+def _keys(spark: SparkSession, d: str, source=files.documents, params: ChunkParams = SMALL) -> DataFrame:
+    """Chunks without their bytes."""
+    return chunking.chunks(source(spark, d), params, data=False)
+
+
 def _with(*ctes: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(c.strip() for c in ctes)
 
@@ -97,20 +104,27 @@ _PROFILE = O.profile_rows("c")
 
 @query("stratum_histogram", _with(_HIST) + O.histogram_rows("c").replace("SELECT", " SELECT", 1))
 def stratum_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return histogram.with_bins(files.documents(spark, d), "content").select("file_id", *histogram.BINS, F.octet_length("content").cast("long").alias("n"))
+
+
+@query("stratum_histogram_native", _with(O.byte_rows("c", O.FILES["pages"])) + O.histogram_rows("c").replace("SELECT", " SELECT", 1))
+def stratum_histogram_native(spark: SparkSession, d: str) -> DataFrame:
+    """The same counts without Python."""
     content = F.col("content")
-    return files.documents(spark, d).select("file_id", *histogram.bins(content), F.octet_length(content).cast("long").alias("n"))
+    return files.pages(spark, d).select("file_id", *histogram.bins(content), F.octet_length(content).cast("long").alias("n"))
 
 
 @query("stratum_moments", _with(_HIST, _PROFILE) + " SELECT file_id, mean, variance, extreme AS extreme_density, CAST(b4 AS DOUBLE) / n AS density4, "
        + "concat_ws(',', " + ", ".join(f"CAST(CAST(least(255, floor(CAST(b{k} AS DOUBLE) / n * CAST(255 AS DOUBLE))) AS INTEGER) AS VARCHAR)" for k in range(9)) + ") AS summary FROM c_profile")
 def stratum_moments(spark: SparkSession, d: str) -> DataFrame:
-    rows = histogram.with_bins(files.documents(spark, d), "content")
-    return rows.select("file_id", histogram.mean().alias("mean"), histogram.variance().alias("variance"), histogram.extreme_density().alias("extreme_density"), histogram.density(4).alias("density4"), F.array_join(histogram.summary().cast("array<string>"), ",").alias("summary"))
+    n, m = F.col("_n"), F.col("_mean")
+    rows = histogram.measured(files.documents(spark, d), "content")
+    return rows.select("file_id", m.alias("mean"), histogram.variance(n, m).alias("variance"), histogram.extreme_density(n).alias("extreme_density"), histogram.density(4, n).alias("density4"), F.array_join(histogram.summary(n).cast("array<string>"), ",").alias("summary"))
 
 
 @query("chi_square", _with(_HIST, _PROFILE) + " SELECT file_id, chi AS chi_square FROM c_profile")
 def chi_square(spark: SparkSession, d: str) -> DataFrame:
-    return histogram.with_bins(files.documents(spark, d), "content").select("file_id", histogram.chi_square().alias("chi_square"))
+    return histogram.measured(files.documents(spark, d), "content").select("file_id", histogram.chi_square(F.col("_n")).alias("chi_square"))
 
 
 @query("classify_chunks", _with(PAGES, "c_u AS (SELECT DISTINCT chunk_id, h FROM c)", "u_files AS (SELECT chunk_id, h, length(h) // 2 AS n FROM c_u)", "u_pos AS (SELECT chunk_id, h, unnest(range(n)) AS p FROM u_files)",
@@ -121,7 +135,12 @@ def classify_chunks(spark: SparkSession, d: str) -> DataFrame:
     return histogram.profiled(unique).select("chunk_id", "class")
 
 
-@query("classify_embeddings")
+# a float's four bytes, as bits; bytes with as many set bits stand for them
+_FLOATS = """e_all AS (SELECT vec_id AS file_id, CAST(CAST(CAST(unnest(embedding) AS FLOAT) AS BIT) AS VARCHAR) AS bits FROM embeddings),
+e_bytes AS (SELECT file_id, (1 << length(replace(substr(bits, CAST(8 * k + 1 AS INTEGER), 8), '0', ''))) - 1 AS x FROM e_all, (SELECT range AS k FROM range(4)))"""
+
+
+@query("classify_embeddings", _with(_FLOATS, O.profile_rows("e")) + " SELECT file_id, " + ", ".join(f"b{k}" for k in range(9)) + ", class FROM e_profile")
 def classify_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return histogram.profiled(files.embeddings(spark, d), "content").select("file_id", *histogram.BINS, "class")
 
@@ -133,46 +152,56 @@ _CHUNKS = " SELECT file_id, seq, offset_ AS \"offset\", length, chunk_id FROM c"
 
 @query("cdc_chunks", _with(DOCS) + _CHUNKS)
 def cdc_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return _cut(spark, d).drop("data")
+    return _keys(spark, d)
 
 
 @query("cdc_chunks_pages", _with(PAGES) + _CHUNKS)
 def cdc_chunks_pages(spark: SparkSession, d: str) -> DataFrame:
-    return _cut(spark, d, files.pages).drop("data")
+    return _keys(spark, d, files.pages)
 
 
 @query("cdc_chunks_default", _with(O.chunk_rows("c", O.FILES["documents"], ChunkParams())) + _CHUNKS)
 def cdc_chunks_default(spark: SparkSession, d: str) -> DataFrame:
-    return _cut(spark, d, params=ChunkParams()).drop("data")
+    return _keys(spark, d, params=ChunkParams())
 
 
 @query("chunk_coverage", "SELECT doc_id AS file_id, octet_length(encode(text)) AS n_bytes, octet_length(encode(text)) AS covered, true AS contiguous FROM documents")
 def chunk_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.coverage(_cut(spark, d), files.documents(spark, d))
+    return chunking.coverage(_keys(spark, d), files.documents(spark, d))
 
 
 @query("chunk_store", _with(DOCS) + """ SELECT file_id, chunk_id, count(*) AS ref_count, min(offset_) AS first_offset, min(length) AS length,
 row_number() OVER (PARTITION BY file_id ORDER BY min(offset_)) - 1 AS "index" FROM c GROUP BY file_id, chunk_id""")
 def chunk_store(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.store(_cut(spark, d))
+    return dedup.store(_keys(spark, d))
 
 
 @query("store_lookup", _with(DOCS, "s AS (SELECT file_id, chunk_id, count(*) AS ref_count, row_number() OVER (PARTITION BY file_id ORDER BY min(offset_)) - 1 AS i FROM c GROUP BY file_id, chunk_id)")
        + " SELECT file_id, chunk_id, ref_count FROM s WHERE i = 1")
 def store_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.get_by_index(dedup.store(_cut(spark, d)), 1).select("file_id", "chunk_id", "ref_count")
+    return dedup.get_by_index(dedup.store(_keys(spark, d)), 1).select("file_id", "chunk_id", "ref_count")
 
 
 @query("toc_lookup", _with(DOCS, "k AS (SELECT min(chunk_id) AS chunk_id FROM c)") + " SELECT c.file_id, c.chunk_id, count(*) AS ref_count FROM c JOIN k ON c.chunk_id = k.chunk_id GROUP BY c.file_id, c.chunk_id")
 def toc_lookup(spark: SparkSession, d: str) -> DataFrame:
-    cut = _cut(spark, d)
+    cut = _keys(spark, d)
     wanted = cut.agg(F.min("chunk_id")).first()[0]
     return dedup.get(dedup.store(cut), wanted or "").select("file_id", "chunk_id", "ref_count")
 
 
+@query("store_iter", _with(DOCS, "s AS (SELECT file_id, chunk_id, min(offset_) AS a FROM c GROUP BY file_id, chunk_id)")
+       + " SELECT file_id, sha256(string_agg(chunk_id, ',' ORDER BY a)) AS in_order, count(*) AS chunks, false AS is_empty FROM s GROUP BY file_id")
+def store_iter(spark: SparkSession, d: str) -> DataFrame:
+    """The unique chunks of each file in the order of iteration."""
+    stored = dedup.store(_keys(spark, d))
+    rows = dedup.in_order(stored).select("file_id", F.struct(F.monotonically_increasing_id().alias("place"), "chunk_id").alias("p"))
+    listed = rows.groupBy("file_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    return listed.select("file_id", F.sha2(F.array_join(F.transform("ps", lambda p: p["chunk_id"]), ","), 256).alias("in_order"), F.size("ps").cast("long").alias("chunks"), F.lit(dedup.is_empty(stored)).alias("is_empty"))
+
+
 @query("first_occurrences", _with(DOCS) + " SELECT file_id, seq, chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY file_id, offset_) = 1 AS is_new FROM c")
 def first_occurrences(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.marked(_cut(spark, d).drop("data"), "corpus").select("file_id", "seq", "chunk_id", "is_new")
+    return dedup.marked(_keys(spark, d), "corpus").select("file_id", "seq", "chunk_id", "is_new")
 
 
 _STATS = """of_chunk AS (SELECT file_id, chunk_id, count(*) AS n, min(length) AS length FROM c GROUP BY file_id, chunk_id),
@@ -182,7 +211,7 @@ of_file AS (SELECT file_id, CAST(sum(n) AS BIGINT) AS chunk_count, count(*) AS u
 @query("path_choice", _with(DOCS, _STATS) + f""" SELECT file_id, chunk_count, unique_chunks, chunk_count - unique_chunks AS duplicate_chunks, total_bytes, duplicate_bytes,
 CAST(duplicate_bytes AS DOUBLE) / total_bytes AS dedup_fraction, CASE WHEN CAST(duplicate_bytes AS DOUBLE) / total_bytes < {O.number(V.DEDUP_THRESHOLD)} THEN 'single' ELSE 'chunked' END AS path FROM of_file""")
 def path_choice(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.file_stats(files.documents(spark, d), _cut(spark, d))
+    return dedup.file_stats(files.documents(spark, d), _keys(spark, d))
 
 
 @query("duplicate_files", "SELECT sha256(text) AS checksum, count(*) AS copies, min(doc_id) AS first_file FROM documents GROUP BY sha256(text) HAVING count(*) > 1")
@@ -195,12 +224,12 @@ _BENCH = O.chunk_rows("b", O.FILES["benchmark"], SMALL)
 
 @query("known_chunks", _with(DOCS, _BENCH) + " SELECT file_id, seq, chunk_id FROM c WHERE EXISTS (SELECT 1 FROM b WHERE b.chunk_id = c.chunk_id)")
 def known_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.contained(_cut(spark, d), _cut(spark, d, files.benchmark)).select("file_id", "seq", "chunk_id")
+    return dedup.contained(_keys(spark, d), _keys(spark, d, files.benchmark)).select("file_id", "seq", "chunk_id")
 
 
 @query("missing_chunks", _with(DOCS, _BENCH) + " SELECT file_id, seq, chunk_id FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.chunk_id = c.chunk_id)")
 def missing_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.missing(_cut(spark, d), _cut(spark, d, files.benchmark)).select("file_id", "seq", "chunk_id")
+    return dedup.missing(_keys(spark, d), _keys(spark, d, files.benchmark)).select("file_id", "seq", "chunk_id")
 
 
 # --- similarity ------------------------------------------------------------------
@@ -235,19 +264,28 @@ def near_duplicates_corpus(spark: SparkSession, d: str) -> DataFrame:
     return similarity.best_bases(unique).select("file_id", "useq", "chunk_id", "base_chunk_id", "hamming", "fidelity")
 
 
+@query("near_duplicates_loose", _with(PAGES, _unique_sql("corpus"), _pairs_sql("corpus"), _BEST.replace(O.number(V.FIDELITY), O.number(0.6))))
+def near_duplicates_loose(spark: SparkSession, d: str) -> DataFrame:
+    """With a threshold of one's own."""
+    unique = similarity.numbered(_cut(spark, d, files.pages), "corpus")
+    return similarity.best_bases(unique, 0.6).select("file_id", "useq", "chunk_id", "base_chunk_id", "hamming", "fidelity")
+
+
 @query("candidate_pairs", _with(PAGES, _unique_sql("corpus"), _pairs_sql("corpus")) + " SELECT file_id, useq, base_useq, CAST(hamming AS BIGINT) AS hamming, 8 * length AS max_bits, fidelity FROM q")
 def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
     unique = similarity.numbered(_cut(spark, d, files.pages), "corpus")
     return similarity.best_bases(unique, everything=True).select("file_id", "useq", "base_useq", "hamming", "max_bits", "fidelity")
 
 
-_ADDRESSES = O.hamming("upper(sha256(text))", "upper(sha256(CAST(doc_id AS VARCHAR)))")
+_DOC_BYTES = O.byte_rows("c", O.FILES["documents"])
 
 
-@query("pair_correlation", f"SELECT doc_id, CAST({_ADDRESSES} AS BIGINT) AS hamming, CAST(256 AS BIGINT) AS max_bits, CAST(1 AS DOUBLE) - CAST({_ADDRESSES} AS DOUBLE) / 256 AS fidelity FROM documents")
+@query("pair_correlation", _with(_DOC_BYTES, "s AS (SELECT file_id, CAST(sum(bit_count(CAST(xor(x, 97) AS SMALLINT))) AS BIGINT) AS hamming, CAST(8 * count(*) AS BIGINT) AS max_bits FROM c_bytes GROUP BY file_id)")
+       + " SELECT file_id, hamming, max_bits, CAST(1 AS DOUBLE) - CAST(hamming AS DOUBLE) / max_bits AS fidelity FROM s")
 def pair_correlation(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "documents").select("doc_id", F.unhex(F.sha2("text", 256)).alias("a"), F.unhex(F.sha2(F.col("doc_id").cast("string"), 256)).alias("b"))
-    return rows.select("doc_id", *correlate(F.col("a"), F.col("b")))
+    """Every text with as many letters a."""
+    rows = files.documents(spark, d).withColumn("other", F.encode(F.repeat(F.lit("a"), F.octet_length("content")), "UTF-8"))
+    return rows.select("file_id", *correlate(F.col("content"), F.col("other")))
 
 
 # --- codecs and routing ------------------------------------------------------------
@@ -259,12 +297,55 @@ def quantize_bytes(spark: SparkSession, d: str) -> DataFrame:
     return files.pages(spark, d).select("file_id", identity.chunk_id(codecs.quantized(F.col("content"), 3)).alias("checksum"))
 
 
-@query("xor_bytes", "SELECT doc_id, sha256(unhex(repeat('00', CAST(octet_length(encode(text)) AS INTEGER)))) AS checksum FROM documents")
+_HEXED = "string_agg(printf('%02X', CAST(y AS INTEGER)), '' ORDER BY p)"
+
+
+@query("xor_bytes", _with(_DOC_BYTES, "d AS (SELECT file_id, sha256(content) AS digest FROM c_files)", "q AS (SELECT file_id, p, xor(x, ascii(substr(digest, CAST(p + 1 AS INTEGER), 1))) AS y FROM c_bytes JOIN d USING (file_id) WHERE p < 64)")
+       + f" SELECT file_id, {_HEXED} AS xored FROM q GROUP BY file_id")
 def xor_bytes(spark: SparkSession, d: str) -> DataFrame:
-    """Every text against itself: all zeros."""
-    rows = read_table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("x"))
-    residual = codecs.decoded("Zstd", codecs.encoded("Delta", F.col("x"), 3, F.col("x")), F.octet_length("x"))
-    return rows.select("doc_id", identity.chunk_id(residual).alias("checksum"))
+    """Every text with the 64 letters of its digest: as far as the shorter goes."""
+    content = F.col("content")
+    return files.documents(spark, d).select("file_id", F.hex(codecs.xored(content, F.encode(identity.chunk_id(content), "UTF-8"))).alias("xored"))
+
+
+@query("delta_residual", _with(_DOC_BYTES, "q AS (SELECT file_id, p, xor(x, 97) AS y FROM c_bytes)") + f" SELECT file_id, sha256(unhex({_HEXED})) AS checksum FROM q GROUP BY file_id")
+def delta_residual(spark: SparkSession, d: str) -> DataFrame:
+    """What a delta holds: every text against as many letters a."""
+    base = F.encode(F.repeat(F.lit("a"), F.octet_length("content")), "UTF-8")
+    packed = files.documents(spark, d).select("file_id", "content", codecs.encoded("Delta", F.col("content"), 3, base).alias("packed"))
+    return packed.select("file_id", identity.chunk_id(codecs.decoded("Zstd", F.col("packed"), F.octet_length("content"))).alias("checksum"))
+
+
+def _quantized_sql(x: str, most: int) -> str:
+    return f"CASE WHEN bit_count(CAST({x} AS SMALLINT)) <= {most} THEN {x} & 252 ELSE {x} END"
+
+
+@query("round_trip_quantized", _with(_DOC_BYTES, f"q AS (SELECT file_id, p, {_quantized_sql('x', 2)} AS y FROM c_bytes)") + f" SELECT file_id, sha256(unhex({_HEXED})) AS checksum FROM q GROUP BY file_id")
+def round_trip_quantized(spark: SparkSession, d: str) -> DataFrame:
+    """Quantized, packed and unpacked: the bits that were cleared stay so."""
+    packed = files.documents(spark, d).select("file_id", "content", codecs.encoded("Quantized", F.col("content")).alias("packed"))
+    return packed.select("file_id", identity.chunk_id(codecs.decoded("Quantized", F.col("packed"), F.octet_length("content"))).alias("checksum"))
+
+
+@query("lossy_delta", _with(_DOC_BYTES, f"t AS (SELECT file_id, p, x, CASE WHEN x = 101 THEN 97 ELSE x END AS t, {_quantized_sql('x', 3)} AS z FROM c_bytes)", "q AS (SELECT file_id, p, xor(xor(t, x), z) AS y FROM t)")
+       + f" SELECT file_id, sha256(unhex({_HEXED})) AS checksum FROM q GROUP BY file_id")
+def lossy_delta(spark: SparkSession, d: str) -> DataFrame:
+    """Deltas against the text, decoded against what quantizing made of it."""
+    text, target = F.col("content"), F.encode(F.translate(F.decode("content", "UTF-8"), "e", "a"), "UTF-8")
+    rows = files.documents(spark, d).select("file_id", "content", codecs.encoded("Delta", target, 3, text).alias("packed"), codecs.quantized(text, 3).alias("left"))
+    return rows.select("file_id", identity.chunk_id(codecs.decoded("Delta", F.col("packed"), F.octet_length("content"), F.col("left"))).alias("checksum"))
+
+
+@query("backend_tags", "SELECT * FROM (VALUES (0, 'Identity'), (1, 'Zstd'), (2, 'Lz4'), (3, 'Delta'), (4, 'Quantized'), (5, 'Reference')) AS t(tag, name)")
+def backend_tags(spark: SparkSession, d: str) -> DataFrame:
+    tag = F.col("id").cast("int")
+    return spark.range(6).select(tag.alias("tag"), codecs.name_of(tag).alias("name"))
+
+
+@query("ratios", "SELECT file_id, CASE WHEN k = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(n AS DOUBLE) / k END AS ratio FROM (SELECT doc_id AS file_id, octet_length(encode(text)) AS n, octet_length(encode(text)) % 7 AS k FROM documents)")
+def ratios(spark: SparkSession, d: str) -> DataFrame:
+    n = F.octet_length("content")
+    return files.documents(spark, d).select("file_id", dedup.ratio(n, n % 7).alias("ratio"))
 
 
 def _round_trip(name: str) -> Query:
@@ -330,6 +411,22 @@ def standard_route(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query("standard_guard", "SELECT file_id, kind, level, CASE WHEN kind = 'digest' THEN 'Identity' WHEN level = 'fast' THEN 'Lz4' ELSE 'Zstd' END AS backend FROM (SELECT doc_id AS file_id FROM documents), (SELECT unnest(['digest', 'letters']) AS kind), (SELECT unnest(['fast', 'default', 'best']) AS level)")
+def standard_guard(spark: SparkSession, d: str) -> DataFrame:
+    """The standard codec of chunks that it can't make smaller (32 bytes of a
+    digest) and of some that it can (a thousand equal letters)."""
+    text = F.col("content")
+    kinds = F.array(F.struct(F.lit("digest").alias("kind"), F.unhex(identity.chunk_id(text)).alias("data")), F.struct(F.lit("letters").alias("kind"), F.encode(F.repeat(F.lit("a"), 1000), "UTF-8").alias("data")))
+    rows = histogram.profiled(files.documents(spark, d).select("file_id", F.explode(kinds).alias("k")).select("file_id", "k.*")).select("file_id", "kind", "class", "data")
+    out = None
+    for name in V.ZSTD_LEVEL:
+        codec, number = encode.standard_route(F.col("class"), name)
+        made = encode.encoded_rows(rows.select("file_id", "kind", codec.alias("codec"), number.alias("level"), "data", F.lit(None).cast("binary").alias("base")))
+        made = made.select("file_id", "kind", F.lit(name).alias("level"), codecs.name_of(F.col("tag")).alias("backend"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 # --- archives ------------------------------------------------------------------------
 
 
@@ -337,20 +434,31 @@ def _archives(spark: SparkSession, d: str, source=files.documents, **options) ->
     return encode.compress(source(spark, d), encode.CompressConfig(chunk_params=SMALL, **options))
 
 
-@query("compress_stats", _with(PAGES, _STATS) + f""" SELECT file_id, total_bytes AS original_size, CASE WHEN single THEN 1 ELSE chunk_count END AS chunk_count, CASE WHEN single THEN 1 ELSE unique_chunks END AS unique_chunks,
-CASE WHEN single THEN 0 ELSE chunk_count - unique_chunks END AS duplicate_chunks FROM (SELECT *, CAST(duplicate_bytes AS DOUBLE) / total_bytes < {O.number(V.DEDUP_THRESHOLD)} AS single FROM of_file)""")
+_SINGLE = f"CAST(duplicate_bytes AS DOUBLE) / total_bytes < {O.number(V.DEDUP_THRESHOLD)} AS single"
+_DELTAS = "best AS (" + _BEST[_BEST.index("SELECT file_id, useq, chunk_id, base") :] + ")"
+_CLOSE = _BEST[: _BEST.index("SELECT file_id, useq, chunk_id, base")].rstrip()
+
+
+@query("compress_stats", _with(PAGES, _STATS, _unique_sql("file"), _pairs_sql("file"), _CLOSE, _DELTAS, "k AS (SELECT file_id, count(*) AS deltas FROM best GROUP BY file_id)")
+       + f""" SELECT f.file_id, total_bytes AS original_size, CASE WHEN single THEN 1 ELSE chunk_count END AS chunk_count, CASE WHEN single THEN 1 ELSE unique_chunks END AS unique_chunks,
+CASE WHEN single THEN 0 ELSE chunk_count - unique_chunks END AS duplicate_chunks, CASE WHEN single THEN 0 ELSE coalesce(deltas, 0) END AS delta_chunks, true AS is_the_file_s_size
+FROM (SELECT *, {_SINGLE} FROM of_file) f LEFT JOIN k ON f.file_id = k.file_id""")
 def compress_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _archives(spark, d, files.pages).stats.select("file_id", "original_size", "chunk_count", "unique_chunks", "duplicate_chunks")
+    """Sizes depend on the codecs' versions; they are held against the files."""
+    made = _archives(spark, d, files.pages, emit_manifest=True)
+    sizes = archive_file.to_files(made).select("file_id", F.octet_length("archive").alias("of_file"))
+    holds = F.col("compressed_size") == F.col("of_file")
+    return made.stats.join(sizes, "file_id").select("file_id", "original_size", "chunk_count", "unique_chunks", "duplicate_chunks", "delta_chunks", holds.alias("is_the_file_s_size"))
 
 
-@query("toc_offsets", _with(PAGES, _unique_sql("file")) + " SELECT file_id, useq, CAST(coalesce(sum(length) OVER (PARTITION BY file_id ORDER BY useq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS data_offset FROM u")
+@query("toc_offsets", _with(PAGES, _STATS, _unique_sql("file"), f"w AS (SELECT *, {_SINGLE} FROM of_file)") + f""" SELECT u.file_id, useq, CASE WHEN useq = 0 THEN least(total_bytes, {V.DICTIONARY_MAX}) + {V.HEADER_BYTES + 4} ELSE 0 END AS gap
+FROM u JOIN w ON u.file_id = w.file_id WHERE NOT single UNION ALL SELECT file_id, 0, {V.HEADER_BYTES} FROM w WHERE single""")
 def toc_offsets(spark: SparkSession, d: str) -> DataFrame:
-    """Where unique chunks would begin if they were stored as they are."""
-    from pyspark.sql import Window
-
-    unique = similarity.numbered(_cut(spark, d, files.pages))
-    before = F.sum("length").over(Window.partitionBy("file_id").orderBy("useq").rowsBetween(Window.unboundedPreceding, -1))
-    return unique.select("file_id", "useq", F.coalesce(before, F.lit(0)).cast("long").alias("data_offset"))
+    """Where payloads begin: behind header and dictionary, and without gaps."""
+    toc = _archives(spark, d, files.pages).toc
+    order = Window.partitionBy("file_id").orderBy("useq")
+    before = F.lag(F.col("data_offset") + F.col("compressed_size")).over(order)
+    return toc.select("file_id", "useq", (F.col("data_offset") - F.coalesce(before, F.lit(0))).alias("gap"))
 
 
 def _restored(source, level: str) -> Query:
@@ -388,14 +496,66 @@ def delta_chunks(spark: SparkSession, d: str) -> DataFrame:
     return decode.decode_chunks(made).join(deltas, ["file_id", "chunk_id"], "left_semi").select("file_id", "chunk_id", identity.chunk_id(F.col("data")).alias("checksum"))
 
 
-@query("verify_lossy", "SELECT page_id AS file_id, 'skipped_lossy' AS status FROM pages")
-def verify_lossy(spark: SparkSession, d: str) -> DataFrame:
-    return decode.verify(_archives(spark, d, files.pages, mode="lossy"))
+# class and bytes of each chunk of pages
+_CLASSES = ("c_u AS (SELECT DISTINCT chunk_id, h FROM c)", "u_files AS (SELECT chunk_id, h, length(h) // 2 AS n FROM c_u)", "u_pos AS (SELECT chunk_id, h, unnest(range(n)) AS p FROM u_files)",
+            "u_bytes AS (SELECT chunk_id, p, 16 * (strpos('0123456789ABCDEF', substr(h, 2 * p + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, 2 * p + 2, 1)) - 1 AS x FROM u_pos)", O.profile_rows("u", "chunk_id"))
 
 
-@query("bad_chunks", "SELECT CAST(NULL AS BIGINT) AS file_id, CAST(NULL AS VARCHAR) AS chunk_id, CAST(NULL AS VARCHAR) AS actual WHERE false")
+@query("restore_lossy", _with(PAGES, *_CLASSES, f"q AS (SELECT b.chunk_id, p, CASE WHEN class IN ('{V.STRUCTURED}', '{V.DENSE}') THEN {_quantized_sql('x', 2)} ELSE x END AS y FROM u_bytes b JOIN u_profile k ON b.chunk_id = k.chunk_id)", f"z AS (SELECT chunk_id, {_HEXED} AS h FROM q GROUP BY chunk_id)")
+       + " SELECT c.file_id, sha256(unhex(string_agg(z.h, '' ORDER BY offset_))) AS checksum, 'skipped_lossy' AS status FROM c JOIN z ON c.chunk_id = z.chunk_id GROUP BY c.file_id")
+def restore_lossy(spark: SparkSession, d: str) -> DataFrame:
+    """Lossy archives give back quantized bytes, and say that they can't be checked."""
+    out = decode.decompress(_archives(spark, d, files.pages, mode="lossy", level="fast"))
+    return out.select("file_id", identity.file_checksum(F.col("content")).alias("checksum"), "status")
+
+
+_DOC_KINDS = f"w AS (SELECT *, {_SINGLE} FROM of_file)"
+
+
+@query("bad_chunks", _with(DOCS, _STATS, _unique_sql("file"), _DOC_KINDS) + " SELECT u.file_id, chunk_id, sha256('damaged ' || chunk_id) AS actual FROM u JOIN w ON u.file_id = w.file_id WHERE NOT single AND useq % 3 = 1")
 def bad_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return decode.bad_chunks(_archives(spark, d, files.pages))
+    """Every third chunk holds other bytes than its address says."""
+    made = _archives(spark, d, level="fast")
+    hit = F.col("chunk_id").isNotNull() & (F.col("useq") % 3 == 1)
+    other = F.encode(F.concat(F.lit("damaged "), "chunk_id"), "UTF-8")
+    toc = made.toc.withColumns({"payload": F.when(hit, other).otherwise(F.col("payload")), "tag": F.when(hit, codecs.TAGS["Identity"]).otherwise(F.col("tag"))})
+    return decode.bad_chunks(replace(made, toc=toc))
+
+
+@query("verify_damaged", _with(DOCS, _STATS, _DOC_KINDS) + " SELECT file_id, CASE WHEN NOT single AND file_id % 3 = 0 THEN 'out_of_bounds' WHEN file_id % 3 = 1 THEN 'checksum' ELSE 'ok' END AS status FROM w")
+def verify_damaged(spark: SparkSession, d: str) -> DataFrame:
+    """Maps that reach beyond their chunks, and checksums of other contents."""
+    made = _archives(spark, d, level="fast")
+    file_map = made.file_map.withColumn("length", F.col("length") + F.when(F.col("file_id") % 3 == 0, 1).otherwise(0))
+    heads = made.archives.withColumn("checksum", F.when(F.col("file_id") % 3 == 1, F.sha2(F.lit("other"), 256)).otherwise(F.col("checksum")))
+    return decode.verify(replace(made, file_map=file_map, archives=heads))
+
+
+@query("restore_empty", f"""SELECT doc_id AS file_id, CASE WHEN doc_id % 3 = 0 THEN 'empty' ELSE 'single' END AS path, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE octet_length(encode(left(text, 40))) END AS original_size,
+CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS chunk_count, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE {V.SINGLE_STREAM} END AS flags, CASE WHEN doc_id % 3 = 0 THEN {V.HEADER_BYTES} END AS empty_bytes,
+CASE WHEN doc_id % 3 = 0 THEN sha256('') ELSE sha256(left(text, 40)) END AS checksum, 'ok' AS status FROM documents""")
+def restore_empty(spark: SparkSession, d: str) -> DataFrame:
+    """Empty files among short ones, as archive files and back."""
+    docs = read_table(spark, d, "documents")
+    short = docs.select(F.col("doc_id").alias("file_id"), F.when(F.col("doc_id") % 3 == 0, F.encode(F.lit(""), "UTF-8")).otherwise(F.encode(F.substring("text", 1, 40), "UTF-8")).alias("content"))
+    made = archive_file.to_files(encode.compress(short))
+    back = archive_file.from_files(made)
+    heads = back.archives.select("file_id", "path", "original_size", "chunk_count", "flags")
+    size = made.select("file_id", F.octet_length("archive").alias("n"))
+    out = decode.decompress(back).select("file_id", identity.file_checksum(F.col("content")).alias("checksum"), "status")
+    return heads.join(size, "file_id").join(out, "file_id").select("file_id", "path", "original_size", "chunk_count", "flags", F.when(F.col("path") == "empty", F.col("n")).alias("empty_bytes"), "checksum", "status")
+
+
+@query("scan_files", "SELECT page_id AS file_id, sha256(html) AS checksum, 'ok' AS status FROM pages")
+def scan_files(spark: SparkSession, d: str) -> DataFrame:
+    """Pages written as files, read whole, archived as files and restored."""
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    archive_file.write_files(files.pages(spark, d), folder)
+    made = encode.compress(files.read_files(spark, folder), encode.CompressConfig(chunk_params=SMALL))
+    archive_file.write_archives(made.named(F.regexp_extract("file_id", "[^/]*$", 0)), f"{folder}-archives")
+    out = decode.decompress(archive_file.read_archives(spark, f"{folder}-archives"))
+    page = F.regexp_extract("file_id", f"([^/]*)\\{V.EXTENSION}$", 1).cast("long")
+    return out.select(page.alias("file_id"), identity.file_checksum(F.col("content")).alias("checksum"), "status")
 
 
 @query("inspect", _with(PAGES, _STATS) + f""" SELECT file_id, 1 AS version, total_bytes AS original_size, false AS is_lossy, NOT single AS has_manifest, single AS is_single_stream,
@@ -404,9 +564,21 @@ def inspect(spark: SparkSession, d: str) -> DataFrame:
     return decode.inspect(_archives(spark, d, files.pages, emit_manifest=True)).drop("file_map_count")
 
 
-@query("inspect_chunks")
+_ROUTE = f"CASE WHEN n.base_chunk_id IS NOT NULL THEN 'Delta' WHEN class IN ('{V.STRUCTURED}', '{V.DENSE}') THEN 'Quantized' ELSE 'standard' END"
+_LOSSY = (PAGES, _unique_sql("file"), _pairs_sql("file"), _CLOSE, "n AS (" + _BEST[_BEST.index("SELECT file_id, useq, chunk_id, base") :] + ")", *_CLASSES)
+_ROUTED = "u LEFT JOIN n ON u.file_id = n.file_id AND u.useq = n.useq JOIN u_profile k ON u.chunk_id = k.chunk_id"
+
+
+def _routed(backend: Column) -> Column:
+    return F.when(backend.isin("Delta", "Quantized"), backend).otherwise("standard")
+
+
+@query("inspect_chunks", _with(*_LOSSY) + f" SELECT u.file_id, u.useq, u.chunk_id, {_ROUTE} AS backend, u.length AS original_size, true AS ratio_holds FROM {_ROUTED}")
 def inspect_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return decode.inspect_chunks(_archives(spark, d, files.pages, mode="lossy"))
+    """A delta goes before quantizing, and that before the standard codecs."""
+    rows = decode.inspect_chunks(_archives(spark, d, files.pages, mode="lossy"))
+    holds = F.abs(F.col("ratio") * F.col("compressed_size") - F.col("original_size")) < 1e-6
+    return rows.select("file_id", "useq", "chunk_id", _routed(F.col("backend")).alias("backend"), "original_size", holds.alias("ratio_holds"))
 
 
 _CERT = f"'{V.CHUNK_URN}' || chunk_id[:16] || '|Identity|{V.COMPRESSED_URN}' || chunk_id || '|' || length || '|' || length"
@@ -421,6 +593,25 @@ def certificate_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.certificates(rows, encode.CompressConfig()).select("file_id", "useq", "derivation_id")
 
 
-@query("manifest_nodes")
+_NEAR = "'NearDuplicate { base: ChunkId(' || n.base_chunk_id[:16] || '), fidelity: ' || CAST(n.fidelity AS VARCHAR) || ' }'"
+
+
+@query("manifest_nodes", _with(*_LOSSY, "t AS (SELECT file_id, count(*) AS occurrences, CAST(sum(length) AS BIGINT) AS total FROM c GROUP BY file_id)", "g AS (SELECT file_id, count(*) AS kinds FROM u GROUP BY file_id)")
+       + f""" SELECT u.file_id, CAST(u.useq + 1 AS BIGINT) AS node, 'derivation:Derivation' AS type, '{V.CHUNK_URN}' || u.chunk_id[:16] AS source, CASE WHEN n.base_chunk_id IS NULL THEN class ELSE {_NEAR} END AS classification,
+{_ROUTE} AS backend, CAST(u.length AS BIGINT) AS size, '[' || concat_ws(',', {", ".join(f"CAST(b{k} AS VARCHAR)" for k in range(9))}) || ']' AS counts, '{V.LOSSY_FIDELITY}' AS told FROM {_ROUTED}
+UNION ALL SELECT f.file_id, 0, 'proof:CoherenceProof', '{V.ARCHIVE_URN}' || sha256(content)[:16], NULL, NULL, total, CAST(kinds AS VARCHAR) || '/' || CAST(occurrences AS VARCHAR), 'true/false' FROM c_files f JOIN t ON f.file_id = t.file_id JOIN g ON f.file_id = g.file_id""")
 def manifest_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _archives(spark, d, files.pages, mode="lossy", emit_manifest=True, emit_certificates=True).manifests
+    """The nodes of the manifests that archive files hold.  What depends on the
+    codecs' versions is left out: addresses of payloads and what contains them."""
+    made = _archives(spark, d, files.pages, mode="lossy", emit_manifest=True, emit_certificates=True)
+    manifests = archive_file.from_files(archive_file.to_files(made)).manifests
+    graph = F.from_json("manifest", "struct<`@graph`: array<map<string, string>>>")["@graph"]
+    rows = manifests.select("file_id", F.posexplode(graph).alias("node", "m"))
+    m = lambda key: F.col("m")[key]
+    proof = m("@type") == "proof:CoherenceProof"
+    return rows.select(
+        "file_id", F.col("node").cast("long").alias("node"), m("@type").alias("type"), F.when(proof, m("@id")).otherwise(m("derivation:source")).alias("source"), m("derivation:classification").alias("classification"),
+        F.when(~proof, _routed(m("derivation:backend"))).alias("backend"), F.when(proof, m("proof:originalSize")).otherwise(m("derivation:originalSize")).cast("long").alias("size"),
+        F.when(proof, F.concat_ws("/", m("proof:chunkCount"), m("proof:fileMapCount"))).otherwise(F.regexp_replace(m("observable:stratumHistogram"), r"\s", "")).alias("counts"),
+        F.when(proof, F.concat_ws("/", m("proof:lossy"), m("proof:verified"))).otherwise(m("observable:fidelity")).alias("told"),
+    )

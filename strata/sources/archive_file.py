@@ -7,13 +7,15 @@ file source and so from any store; writing through a Python data source.
 
 from __future__ import annotations
 
-import os
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -166,24 +168,38 @@ def read_archives(spark: SparkSession, path: str) -> Archives:
     return from_files(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_id"), F.col("content").alias("archive")))
 
 
+def file_name(file_id: str) -> str:
+    """A name of its own for each id: signs other than letters, digits, points,
+    minus and underscores stand as their UTF-8 bytes, like %2F for a slash."""
+    name = quote(file_id, safe="")
+    return "%2E" + name[1:] if name.startswith(".") else name or "%"
+
+
 class _Writer(DataSourceWriter):
     def __init__(self, folder: str, extension: str):
         self.folder, self.extension = folder, extension
 
+    def _store(self) -> tuple[fs.FileSystem, str]:
+        if "://" not in self.folder and not self.folder.startswith("file:"):
+            return fs.LocalFileSystem(), self.folder
+        return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", self.folder))
+
     def write(self, rows) -> WriterCommitMessage:
-        os.makedirs(self.folder, exist_ok=True)
+        store, folder = self._store()
+        store.create_dir(folder, recursive=True)
         for row in rows:
-            name = re.sub(r"[^\w.-]+", "_", str(row["file_id"])).lstrip("_.")
-            part = os.path.join(self.folder, f".{name}.part")
-            with open(part, "wb") as f:
+            name = file_name(str(row["file_id"]))
+            part = f"{folder}/.{name}.{uuid.uuid4().hex}.part"
+            with store.open_output_stream(part) as f:
                 f.write(row["content"])
-            os.replace(part, os.path.join(self.folder, name + self.extension))
+            store.move(part, f"{folder}/{name}{self.extension}")
         return WriterCommitMessage()
 
 
 class WholeFiles(DataSource):
-    """Sink: a file for each row (file_id, content) in a folder that all
-    executors share; the option ``extension`` goes behind its name."""
+    """Sink: a file for each row (file_id, content) in a folder that all executors
+    reach: a shared mount, or a store that Arrow has a file system for (hdfs, s3,
+    gs, abfs).  The option ``extension`` goes behind a file's name."""
 
     @classmethod
     def name(cls) -> str:

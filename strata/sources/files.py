@@ -6,28 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.spark import read_table
+from strata.spark import read_table, spread
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole files; the path is the id.
 
-    Spark's reader passes over empty files; they come from its list of files.
+    Spark's reader passes over empty files; they come from its list of files, which
+    the driver holds in any case to plan a scan.  Paths alone are compared with it.
     """
     read = spark.read.format("binaryFile").load(path)
-    found = read.select(F.col("path").alias("file_id"), "content")
     listed = spark.createDataFrame([(f,) for f in read.inputFiles()], "file_id string")
     listed = listed.select(F.regexp_replace("file_id", "^([a-z0-9]+):///", "$1:/").alias("file_id"))
-    empty = listed.join(found.select("file_id"), "file_id", "left_anti").withColumn("content", F.lit(b""))
-    return found.unionByName(empty)
+    empty = listed.join(read.select(F.col("path").alias("file_id")), "file_id", "left_anti").withColumn("content", F.lit(b""))
+    return read.select(F.col("path").alias("file_id"), "content").unionByName(empty)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("content"))
+    return spread(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text"), "file_id").select("file_id", F.encode("text", "UTF-8").alias("content"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.encode("html", "UTF-8").alias("content"))
+    return spread(read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), "html"), "file_id").select("file_id", F.encode("html", "UTF-8").alias("content"))
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:

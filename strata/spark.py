@@ -2,8 +2,8 @@
 
 Results of long or repeated plans go to the folder that the cluster names in
 ``spark.checkpoint.dir``, so that a lost executor costs a re-read and not a
-re-run.  Where the setting is missing (tests, a laptop) a folder under /tmp takes
-its place.  What a single scan yields is kept on the executors' disks instead:
+re-run.  Where the setting is missing and the master is local (tests, a laptop) a
+folder under /tmp takes its place; on a cluster that is an error.  What a single scan yields is kept on the executors' disks instead:
 if one is lost, its part of the scan runs again.
 """
 
@@ -15,6 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Only where driver and executors are one process.
 FALLBACK_DIR = "/tmp/checkpoints/strata"
 
 
@@ -37,6 +38,8 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8)
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or FALLBACK_DIR).rstrip("/")
 
 
@@ -73,6 +76,13 @@ def discard(df: DataFrame) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores, where the input has fewer partitions than the cluster
+    has cores (a small file that can't be split); any other input stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def columns_of(df: DataFrame) -> list[Column]:
     """The columns of ``df``, whatever signs their names hold."""
     return [F.col(f"`{c}`") for c in df.columns]
@@ -96,11 +106,19 @@ TEXT_BATCHES = {
 
 
 def for_texts(spark: SparkSession) -> SparkSession:
-    """The session with batches that suit tables of whole texts."""
+    """The session with batches that suit tables of whole texts, where the caller
+    hasn't set them."""
+    own = spark.conf.getAll
     for key, value in TEXT_BATCHES.items():
-        spark.conf.set(key, value)
+        if key not in own:
+            spark.conf.set(key, value)
     return spark
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return for_texts(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def read_texts(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table whose rows are whole texts."""
+    return read_table(for_texts(spark), sf_dir, table)

@@ -121,6 +121,57 @@ def test_lossy_delta_keeps_the_error_of_its_base(spark):
         decode.decode_chunks(lost)
 
 
+def test_long_chains_take_no_further_jobs(spark):
+    """A thousand chunks, each a delta of the one before: one pass over the rows."""
+    from pyspark.sql import Row
+
+    rng = random.Random(3)
+    data = [bytes(rng.randrange(256) for _ in range(80))]
+    for i in range(1, 1000):
+        data.append(data[-1][: i % 80] + bytes([(data[-1][i % 80] + 1) % 256]) + data[-1][i % 80 + 1 :])
+    ids = [hashlib.sha256(x).hexdigest() for x in data]
+    rows = [Row(1, i, c, 3 if i else 0, bytearray(codecs.encode_bytes(3, d, base=data[i - 1]) if i else d), 80, ids[i - 1] if i else None) for i, (c, d) in enumerate(zip(ids, data, strict=True))]
+    toc = spark.createDataFrame(rows, "file_id long, useq long, chunk_id string, tag int, payload binary, original_size long, base_chunk_id string").repartition(7)
+    empty = spark.createDataFrame([], "file_id long, dictionary binary")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = {r["chunk_id"]: bytes(r["data"]) for r in decode.decode_chunks(encode.Archives(None, toc, None, empty, None, None, None)).collect()}
+    jobs = len(tracker.getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == dict(zip(ids, data, strict=True)) and jobs < 15
+    late = toc.withColumn("useq", -F.col("useq"))
+    with pytest.raises(InvalidArchive, match="base"):
+        decode.decode_chunks(encode.Archives(None, late, None, empty, None, None, None))
+
+
+def test_names_of_files_stay_apart(spark, tmp_path):
+    names = ["a/b", "a_b", "a b", "./a", "..", "a%2Fb", "ü", "é.txt", ""]
+    rows = spark.createDataFrame([(n, bytearray(n.encode())) for n in names], "file_id string, content binary")
+    archive_file.write_files(rows, str(tmp_path / "out"))
+    found = {p.name: p.read_bytes().decode() for p in (tmp_path / "out").iterdir()}
+    assert sorted(found.values()) == sorted(names) and {archive_file.file_name(n) for n in names} == set(found)
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    from strata.spark import shared_dir
+
+    class Conf:
+        def __init__(self, named):
+            self.named = named
+
+        def get(self, key, default=None):
+            return self.named if key == "spark.checkpoint.dir" else default
+
+    class Session:
+        def __init__(self, master, named):
+            self.conf = Conf(named)
+            self.sparkContext = type("Context", (), {"master": master})
+
+    assert shared_dir(Session("yarn", "hdfs:///x/")) == "hdfs:///x"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session("yarn", None))
+
+
 def test_damage_is_found(spark, files):
     made = encode.compress(files.filter("file_id = 4"), CompressConfig(chunk_params=SMALL))
     wrong = made.file_map.withColumn("length", F.col("length") + 5)
