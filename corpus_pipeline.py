@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strata.llm import langid, linededup, mixing, packing, simhash
 from strata.llm.tokens import vocabulary_path
-from strata.spark import columns_of, for_texts, kept, materialize, read_table, row_key
+from strata.spark import columns_of, for_texts, kept, materialize, read_texts, row_key
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again for the next."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_texts(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name, 0)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.blocks import in_groups, paired, spanning
 from strata.llm.components import components
-from strata.spark import materialize, read_table
+from strata.spark import materialize, read_texts
 
 THRESHOLD, PROBES, MISSED, SEED = 0.93, 2, 5e-4, 5
 #: Vectors that a bucket should hold, and the fewest hashes in a table.
@@ -217,4 +217,4 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: links and component of every vector."""
-    return linked(read_table(spark, sf_dir, "embeddings"))
+    return linked(read_texts(spark, sf_dir, "embeddings"))

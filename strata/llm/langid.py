@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.llm.textops import texts
-from strata.spark import read_table
+from strata.spark import read_texts
 
 BUCKETS, SIZES, DIM = 1 << 14, (2, 3, 4), 16
 SAMPLE, ASIDE, EPOCHS, RATE, SEED = 4_000, 5, 6, 4.0, 11
@@ -210,7 +210,7 @@ def learned(docs: DataFrame) -> Model:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: predicted language of every document."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_texts(spark, sf_dir, "documents")
     model = learned(docs)
     rows = identify(docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text"), model)
     return rows.select("doc_id", "held_out", "lang_pred", "score", (F.col("score") < F.lit(model.threshold)).alias("rejected"))

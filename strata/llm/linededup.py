@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.spark import columns_of, read_table, row_key
+from strata.spark import columns_of, read_texts, row_key
 
 WINDOW = 3
 INK = r"[^\x20\x09-\x0D]"
@@ -99,7 +99,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: lines, removed lines and the digest of what stays of every document."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_texts(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup(docs, n_lines="n_lines", n_removed="n_removed")
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 

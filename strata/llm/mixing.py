@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.textops import word_counts
-from strata.spark import columns_of, materialize, read_table, row_key
+from strata.spark import columns_of, materialize, read_texts, row_key
 
 WEIGHTS, SHARE, MOST_COPIES, SEED = (5, 2, 1), 1.0, 3, 2024
 GROUP, FAN_IN = 512, 64
@@ -184,7 +184,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: words that the mix takes of every document."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = read_texts(spark, sf_dir, "documents").select("doc_id", "text", "source")
     rows = copies(docs).select("*", F.explode(F.expr("sequence(0L, n_rows - 1)")).alias("row"))
     taken = F.col("size") * per_row(F.col("total"), F.col("n_rows"), F.col("row"))
     return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))

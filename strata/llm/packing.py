@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.textops import texts
 from strata.llm.tokens import encoder, vocabulary_path
-from strata.spark import kept, read_table
+from strata.spark import kept, read_texts
 
 CAPACITY, END_ID, GRID, MAX_SLACK, GROUP = 2048, 1, 32, 2, 1024
 #: Sequences and items of the longest run of equal lengths that is tried.
@@ -282,4 +282,4 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: places of the pieces of every document."""
-    return pack(read_table(spark, sf_dir, "documents"), vocabulary_path())
+    return pack(read_texts(spark, sf_dir, "documents"), vocabulary_path())

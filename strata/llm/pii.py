@@ -46,7 +46,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.spark import discard, materialize, read_table
+from strata.spark import discard, materialize, read_texts
 
 KINDS = ("email", "ip", "card", "phone", "found")
 PATTERNS = {
@@ -281,4 +281,4 @@ def by_document(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: personal data in every document."""
-    return by_document(read_table(spark, sf_dir, "documents"))
+    return by_document(read_texts(spark, sf_dir, "documents"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.textops import SPACE_BYTES, texts
-from strata.spark import kept, read_table
+from strata.spark import kept, read_texts
 
 TREES, SUBSAMPLE, DEPTH, SEED = 128, 256, 8, 7
 SAMPLE, STEPS, CLEAN_LOSS = 16_384, 4096, 0.001
@@ -199,5 +199,5 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: quality counts and verdict of every document."""
-    found = judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    found = judge(read_texts(spark, sf_dir, "documents"), read_texts(spark, sf_dir, "labels"))
     return found.select("doc_id", *COUNTS, "base_failed", "kept", "score")

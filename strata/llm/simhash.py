@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from strata.llm.blocks import in_groups, paired
 from strata.llm.components import components
 from strata.llm.textops import texts
-from strata.spark import kept, materialize, read_table
+from strata.spark import kept, materialize, read_texts
 
 SHINGLE, RADIUS, HASH_SEED = 3, 3, 42
 #: Blocks that the bits are cut into, while there are at most so many fingerprints.
@@ -189,5 +189,5 @@ def groups(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: fingerprint and component of every document."""
-    fps = kept(fingerprints(read_table(spark, sf_dir, "documents")))
+    fps = kept(fingerprints(read_texts(spark, sf_dir, "documents")))
     return groups(fps).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

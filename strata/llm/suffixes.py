@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.textops import utf8
-from strata.spark import discard, materialize, read_table
+from strata.spark import discard, materialize, read_texts
 
 THRESHOLD = 50
 #: Lengths at which ranks are sorted; the first is a power of two.
@@ -428,7 +428,7 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: bytes of every document that repeat a smaller document's."""
-    return repeated(read_table(spark, sf_dir, "documents"))
+    return repeated(read_texts(spark, sf_dir, "documents"))
 
 
 ORACLE = """

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.textops import texts
 from strata.llm.tokens import Encoder, encoder, vocabulary_path
-from strata.spark import read_table
+from strata.spark import read_texts
 
 BUDGET = 2048
 
@@ -234,4 +234,4 @@ def count_tokens(docs: DataFrame, path: str, budget: int = BUDGET, id_col: str =
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: token counts of every document."""
-    return count_tokens(read_table(spark, sf_dir, "documents"), vocabulary_path())
+    return count_tokens(read_texts(spark, sf_dir, "documents"), vocabulary_path())
