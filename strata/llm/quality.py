@@ -1,22 +1,29 @@
 """Quality rules: an isolation forest on rule statistics.
 
 The scan turns every whole text into a few statistics: the counts that the
-fixed rules use, and the shares that the verdict rests on: symbols a word, upper
-case among letters, and distinct words against the text's length.  A forest of random splits is grown on a
-bounded sample of those statistics; rows that few splits isolate have short
-paths and a high score.  The score above which a document is dropped comes from
-the labelled rows: the cut that separates rows labelled poor from rows labelled
-good best, among the cuts that drop at most ``CLEAN_LOSS`` of the good rows.
-Without both kinds of labels only the fixed rules decide.
+fixed rules use, and shares made of all of them: symbols a word, upper case among
+letters, distinct words against the text's length, repeated lines, repeated words,
+and characters a word.  A forest of random splits is grown on a bounded sample of
+those shares; rows that few splits isolate have short paths and a high score.
+
+Rare is not poor: most texts repeat no line, so a clean one that does is isolated at
+once.  The labelled rows therefore say how often a split looks at a share: as often
+as it tells rows labelled poor from rows labelled good (the area under its curve,
+either way, and ``LEAST_WEIGHT``).  They also set the score above which a document
+is dropped: the cut that separates both kinds best, among those that drop at most
+``CLEAN_LOSS`` of the good rows.  Without both kinds all shares weigh the same and
+only the fixed rules decide.
 
 Scale: one scan, whose statistics are kept; the sample is the
-``SAMPLE`` rows with the smallest hashes, the labelled rows are counted by score
-in ``STEPS`` steps, and every row is scored in place.
+``SAMPLE`` rows with the smallest hashes, and so are the ``LABELLED`` rows that the
+weights come from.  The labelled rows are counted by score in ``STEPS`` steps, and
+every row is scored in place.
 
 Cases: a null or empty text has no words and fails the fixed rules.  Labels of
 unknown or null documents, and null labels, count for nothing; of several labels
-of a document the largest counts.  Rows that repeat are scored each.  Empty
-tables give empty results.  Other columns are not read.
+of a document the largest counts.  Rows that repeat are scored each, and equal
+scores get equal verdicts.  Very long texts are measured whole.  Empty tables give
+empty results.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,12 +39,12 @@ from strata.llm.textops import SPACE_BYTES, texts
 from strata.spark import kept, read_texts
 
 TREES, SUBSAMPLE, DEPTH, SEED = 128, 256, 8, 7
-SAMPLE, STEPS, CLEAN_LOSS = 16_384, 4096, 0.001
+SAMPLE, LABELLED, STEPS, CLEAN_LOSS, LEAST_WEIGHT = 16_384, 16_384, 4096, 0.001, 0.02
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-SHARES = ["symbols_per_word", "upper_share", "distinct_share"]
+SHARES = ["symbols_per_word", "upper_share", "distinct_share", "dup_line_share", "repeat_share", "chars_per_word"]
 #: Distinct words of ordinary prose grow about as its length to this power.
 GROWTH = 0.9
 
@@ -88,8 +95,9 @@ def measure(text: bytes) -> tuple:
         return (0,) * len(COUNTS) + (0.0,) * len(SHARES)
     space, inner, symbols, upper, letters = (KINDS @ np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256)).tolist()
     lines = [x for x in text.split(b"\n") if x.strip(SPACE_BYTES)]
-    shares = (symbols / n, upper / max(letters, 1), len(set(words)) / n**GROWTH)
-    return (n, len(text) - space - inner, symbols, len(lines) - len(set(lines)), repeated_words(words), *shares)
+    chars, dup_lines, repeats = len(text) - space - inner, len(lines) - len(set(lines)), repeated_words(words)
+    shares = (symbols / n, upper / max(letters, 1), len(set(words)) / n**GROWTH, dup_lines / max(len(lines), 1), repeats / n, chars / n)
+    return (n, chars, symbols, dup_lines, repeats, *shares)
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,10 +115,12 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 class Forest:
-    """Trees of random splits, kept as complete binary trees in arrays."""
+    """Trees of random splits, kept as complete binary trees in arrays.  A split
+    looks at a column with a chance in proportion to its weight."""
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, depth: int = DEPTH, seed: int = SEED):
+    def __init__(self, rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, depth: int = DEPTH, seed: int = SEED, weights: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
+        self.weights = np.ones(rows.shape[1]) if weights is None else weights
         nodes = 2 ** (depth + 1) - 1
         self.depth, self.size = depth, min(subsample, len(rows))
         self.feature = np.zeros((trees, nodes), dtype=np.int64)
@@ -132,7 +142,7 @@ class Forest:
                 self.path[tree, level] = length
                 level = [c for x in level for c in (2 * x + 1, 2 * x + 2)]
             return
-        f = rng.choice(spread)
+        f = rng.choice(spread, p=self.weights[spread] / self.weights[spread].sum())
         cut = rng.uniform(rows[:, f].min(), rows[:, f].max())
         self.feature[tree, node], self.split[tree, node] = f, cut
         low = rows[:, f] < cut
@@ -166,14 +176,39 @@ def base_failed():
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
+def _known(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(doc_id, good), once for each labelled document."""
+    return labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("good")).dropna().groupBy("doc_id").agg(F.max("good").alias("good"))
+
+
+def separation(poor: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """How well each column tells the rows apart: 0 not at all, 1 entirely."""
+    both, n, m = np.concatenate([poor, good]), len(poor), len(good)
+    out = np.zeros(both.shape[1])
+    for k in range(both.shape[1]):
+        _, place, times = np.unique(both[:, k], return_inverse=True, return_counts=True)
+        rank = (np.cumsum(times) - (times - 1) / 2)[place]
+        out[k] = abs(2 * (rank[:n].sum() - n * (n + 1) / 2) / (n * m) - 1)
+    return out
+
+
+def weights(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", most: int = LABELLED, least: float = LEAST_WEIGHT) -> np.ndarray:
+    """The weight of each share, from labelled rows that pass the fixed rules."""
+    rows = stats.filter(~base_failed()).join(_known(labels, id_col, label_col), "doc_id")
+    told = rows.orderBy(F.xxhash64("doc_id", *COUNTS), "doc_id").limit(most).select("shares", "good").toArrow()
+    shares, good = np.array(told.column(0).to_pylist()).reshape(-1, len(SHARES)), np.array(told.column(1).to_pylist(), dtype=np.int64) > 0
+    if not len(good) or good.all() or not good.any():
+        return np.ones(len(SHARES))
+    return separation(shares[~good], shares[good]) + least
+
+
 def calibrate(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", clean_loss: float = CLEAN_LOSS) -> float:
     """The score above which a row is dropped.
 
     Rows that the fixed rules drop take no part.  Counts by score step and label
     are all that reaches the driver.
     """
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("good")).dropna().groupBy("doc_id").agg(F.max("good").alias("good"))
-    steps = rows.filter(~base_failed()).join(known, "doc_id").groupBy(F.floor(F.col("score") * STEPS).alias("step"), (F.col("good") > 0).alias("good")).count().collect()
+    steps = rows.filter(~base_failed()).join(_known(labels, id_col, label_col), "doc_id").groupBy(F.floor(F.col("score") * STEPS).alias("step"), (F.col("good") > 0).alias("good")).count().collect()
     good, poor = np.zeros(STEPS + 2), np.zeros(STEPS + 2)
     for r in steps:
         (good if r["good"] else poor)[r["step"]] += r["count"]
@@ -192,7 +227,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = stats.filter("n_words > 0").orderBy(F.xxhash64("doc_id", *COUNTS), "doc_id").limit(SAMPLE).select("shares").toArrow()
     if not sample.num_rows:
         return stats.select("doc_id", *COUNTS, base_failed().alias("base_failed"), F.lit(1.0).alias("score"), F.lit(False).alias("kept"))
-    rows = scored(stats, Forest(np.array(sample.column(0).to_pylist())))
+    rows = scored(stats, Forest(np.array(sample.column(0).to_pylist()), weights=weights(stats, labels, id_col)))
     cut = calibrate(rows, labels, id_col)
     return rows.select("doc_id", *COUNTS, base_failed().alias("base_failed"), "score", (~base_failed() & (F.col("score") < F.lit(cut))).alias("kept"))
 

@@ -128,3 +128,24 @@ def test_subwords_end_at_boundaries():
     index, bucket = langid.subwords([b"ab", b"ab cd", b""])
     per = [sorted(bucket[index == i].tolist()) for i in range(3)]
     assert per[2] == [] and set(per[0]) < set(per[1]) and len(per[0]) == 3 + 2 + 1
+
+
+def test_weights_follow_the_labels(spark):
+    """Shares that tell labelled rows apart are looked at most."""
+    rng = np.random.default_rng(3)
+    poor, good = rng.normal(size=(50, 3)), rng.normal(size=(400, 3))
+    poor[:, 1] += 5
+    poor[:, 2] -= 5
+    told = quality.separation(poor, good)
+    assert told[0] < 0.3 and told[1] > 0.99 and told[2] > 0.99
+    stats = quality.statistics(spark.createDataFrame([(i, f"word{i} " * 30) for i in range(5)], "doc_id long, text string"))
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.weights(stats, none).tolist() == [1.0] * len(quality.SHARES)
+
+
+def test_one_very_long_text(spark):
+    words = 400_000
+    docs = spark.createDataFrame([(1, "some words " * (words // 2)), (2, "x" * 1_000_000), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality.judge(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()}
+    assert got[1]["n_words"] == words and got[1]["n_repeat_words"] == words and got[1]["base_failed"]
+    assert got[2]["n_words"] == 1 and got[2]["word_chars"] == 1_000_000 and not got[3]["kept"]
