@@ -15,13 +15,16 @@ Scale: texts are encoded in the scan, which leaves a few numbers a document.
 The plan is made on the driver from the counts by length and has a bound that
 doesn't depend on the data: every pattern uses up a length.  A document finds
 its place from its rank among the items of its length, which is a count before
-its group of rows plus a rank in the group, so a length that a third of the
-documents have is spread like any other.  Checksums are taken in the scan for
+its group of rows plus a rank in the group.  Groups are dealt by a number that each
+row gets in the scan, so a length that a third of the documents have, or one row
+that repeats very often, is spread like any other.  Checksums are taken in the scan for
 whole sequences, the remainder and each grid step of it; the checksum of any
 piece follows from these, and no token ids move.
 
-Cases: a null text counts as empty: one end token.  Rows that repeat are packed
-each.  An empty table packs into nothing.  Other columns are not read.
+Cases: a null text counts as empty: one end token.  A very long text fills
+sequences of its own and leaves one remainder.  Rows that repeat are packed each;
+which of them takes which place is settled by their numbers.  An empty table packs
+into nothing.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,9 +41,9 @@ from pyspark.sql import functions as F
 
 from strata.llm.textops import texts
 from strata.llm.tokens import encoder, vocabulary_path
-from strata.spark import kept, read_texts
+from strata.spark import materialize, read_texts
 
-CAPACITY, END_ID, GRID, MAX_SLACK, GROUP = 2048, 1, 32, 2, 1024
+CAPACITY, END_ID, GRID, MAX_SLACK, GROUP, BLOCK = 2048, 1, 32, 2, 1024, 4096
 #: Sequences and items of the longest run of equal lengths that is tried.
 RUN, RUN_ITEMS = 64, 4096
 
@@ -244,16 +247,22 @@ def items(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = EN
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, max_slack: int = MAX_SLACK, grid: int = GRID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents with their places in sequences."""
-    found = kept(items(docs, path, capacity, end_id, grid, id_col, text_col))
+    # written, so that a row keeps its number whatever runs again
+    found = materialize(items(docs, path, capacity, end_id, grid, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "items", 0, 16 << 20)
     groups = max(1, math.ceil(found.count() / GROUP))
-    found = found.withColumn("g", F.pmod(F.xxhash64("doc_id", "doc_tokens", "rest_crc"), F.lit(groups)))
+    found = found.withColumn("g", F.pmod(F.xxhash64("row"), F.lit(groups)))
     by_group = found.groupBy("rest", "g").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["rest"]: r["n"] for r in by_group.groupBy("rest").agg(F.sum("n").alias("n")).collect() if r["rest"]}
     places = Places(make_plan(counts, capacity, max_slack, grid))
-    before = by_group.select("rest", "g", (F.sum("n").over(Window.partitionBy("rest").orderBy("g")) - F.col("n")).alias("before"))
-    equal = Window.partitionBy("rest", "g").orderBy("doc_id", "doc_tokens", "whole_crc", "rest_crc")
+    # counts before each group: within blocks of groups, and before each block
+    block = F.floor(F.col("g") / BLOCK)
+    by_block = by_group.groupBy("rest", block.alias("block")).agg(F.sum("n").alias("n"))
+    ahead = by_block.select("rest", "block", (F.sum("n").over(Window.partitionBy("rest").orderBy("block")) - F.col("n")).alias("ahead"))
+    within = F.sum("n").over(Window.partitionBy("rest", "block").orderBy("g")) - F.col("n")
+    before = by_group.withColumn("block", block).select("rest", "g", "block", within.alias("within")).join(ahead, ["rest", "block"]).select("rest", "g", (F.col("ahead") + F.col("within")).alias("before"))
+    equal = Window.partitionBy("rest", "g").orderBy("row")
     n_whole = F.size("whole_crc").cast("long")
-    in_group = Window.partitionBy("g").orderBy("rest", "doc_id", "doc_tokens", "whole_crc", "rest_crc").rowsBetween(Window.unboundedPreceding, -1)
+    in_group = Window.partitionBy("g").orderBy("rest", "row").rowsBetween(Window.unboundedPreceding, -1)
     # sequences that a document fills by itself are numbered within its group, 2**32 to a group
     first = F.lit(places.sequences) + F.shiftleft(F.col("g").cast("long"), 32) + F.coalesce(F.sum(n_whole).over(in_group), F.lit(0))
     ranked = found.repartition("g").select("*", (F.row_number().over(equal) - 1).alias("in_equal"), first.alias("first"))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strata.llm import packing, token_counts
 from strata.llm.tokens import encoder, vocabulary_path
@@ -203,3 +204,15 @@ def test_packed_pieces(spark, docs, capacity):
             assert any(len(t) == tokens and zlib.crc32(np.array(t[start : start + length], "<u4").tobytes()) == crc for t in texts)
     assert sum(n for p in sequences.values() for _, n in p) <= capacity * len(sequences)
     assert packing.pack(df.limit(0), PATH).collect() == []
+
+
+def test_ten_thousand_equal_rows(spark):
+    """No group of rows grows with the copies of one row."""
+    rows = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a few words").alias("text"))
+    found = packing.pack(rows, PATH, 64)
+    by_sequence: dict = {}
+    for r in found.collect():
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sum(len(p) for p in by_sequence.values()) >= 10_000
+    assert sum(n for p in by_sequence.values() for _, n in p) == 10_000 * (len(library("a few words")) + 1)
+    assert all(sum(n for _, n in sorted(p)[:i]) == sorted(p)[i][0] for p in by_sequence.values() for i in range(len(p)))
