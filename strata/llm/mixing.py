@@ -172,19 +172,38 @@ def per_row(total: Column, n_rows: Column, index: Column) -> Column:
     return F.floor(total / n_rows) + (index < total % n_rows).cast("long")
 
 
+def unfolded(rows: DataFrame, n: str, name: str, part: int = 4096) -> DataFrame:
+    """Each row ``n`` times, with a number from 0 on in ``name``; a row that stands
+    for very many is dealt out in parts."""
+    first = free_name(rows, "_first")
+    few = rows.filter(F.col(n) <= part).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+    many = rows.filter(F.col(n) > part).withColumn(first, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(part).cast("long"))))
+    many = many.repartition(F.col(first)).withColumn(name, F.explode(F.sequence(F.col(first), F.least(F.col(first) + part, F.col(n)) - 1))).drop(first)
+    return few.unionByName(many)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents, each as often as it is taken, with their own columns."""
-    taken = copies(docs, **options).filter(F.col("total") > 0).select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2"), F.col("total").alias("_total"))
+    k1, k2, total, copy = (free_name(docs, n) for n in ("_r1", "_r2", "_total", "_copy"))
+    taken = copies(docs, **options).filter(F.col("total") > 0).select(F.col("r1").alias(k1), F.col("r2").alias(k2), F.col("total").alias(total))
     r1, r2 = row_key(docs)
     # equal rows stand for each other: one of them carries the copies of all
-    once = docs.select("*", r1.alias("_r1"), r2.alias("_r2")).dropDuplicates(["_r1", "_r2"])
-    rows = once.join(taken, ["_r1", "_r2"])
-    return rows.select(*columns_of(docs), F.explode(F.expr("sequence(1L, _total)")).alias("_copy")).drop("_copy")
+    once = docs.select("*", r1.alias(k1), r2.alias(k2)).dropDuplicates([k1, k2])
+    rows = once.join(taken, [k1, k2])
+    return unfolded(rows, total, copy).select(*columns_of(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: words that the mix takes of every document."""
     docs = read_texts(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = copies(docs).select("*", F.explode(F.expr("sequence(0L, n_rows - 1)")).alias("row"))
+    rows = unfolded(copies(docs), "n_rows", "row")
     taken = F.col("size") * per_row(F.col("total"), F.col("n_rows"), F.col("row"))
     return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))

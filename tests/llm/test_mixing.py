@@ -109,3 +109,24 @@ def test_every_chance_is_kept():
         if held:
             hits[held["k"]] += held["part"]
     assert [h / n for h in hits] == pytest.approx(parts, abs=0.03)
+
+
+def test_a_row_that_repeats_very_often(spark):
+    """It is dealt out in parts, and each copy keeps the columns, whatever their names."""
+    from pyspark.sql import functions as F
+
+    one = spark.range(9_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("two words").alias("text"), F.lit("a").alias("source"), F.lit(1).alias("_first"), F.lit(2).alias("_r1"), F.lit(3).alias("_total"))
+    rest = spark.range(100, 110).select("id", F.lit("a " * 300).alias("text"), F.lit("b").alias("source"), F.lit(4).alias("_first"), F.lit(5).alias("_r1"), F.lit(6).alias("_total")).withColumnRenamed("id", "doc_id")
+    docs = one.unionByName(rest)
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    n = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    taken = {r["doc_id"]: r["total"] for r in mixing.copies(docs).collect()}
+    assert n == {k: v for k, v in taken.items() if v}
+    assert {tuple(r) for r in out.filter("doc_id = 7").select("_first", "_r1", "_total").distinct().collect()} == {(1, 2, 3)}
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "w " * 500_000, "a"), (2, "w", "a"), (3, "v " * 10, "b")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.copies(docs).collect()}
+    assert got[1]["size"] == 500_000 and got[1]["source_size"] == 500_001
