@@ -30,6 +30,16 @@ def paired(rows: DataFrame, keys: list[str], member: str, block: int = BLOCK) ->
     return placed.select(*rows.columns, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
 
 
+def dealt(rows: DataFrame, keys: list[str], member: str, block: int = BLOCK) -> DataFrame:
+    """Like ``paired``, but ``rows`` move only once: just the sizes of buckets with
+    more than a block are joined to them, and buckets of one stay."""
+    large = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("bucket_size")).filter(F.col("bucket_size") > block), "buckets")
+    n = F.coalesce(F.ceil(F.col("bucket_size") / block), F.lit(1))
+    own = F.pmod(F.xxhash64(member), n)
+    placed = rows.join(large, keys, "left").select(*rows.columns, own.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other"))
+    return placed.select(*rows.columns, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
+
+
 def in_groups(rows: DataFrame, keys: list[str], member: str, compare: Callable[[pa.Table, list[int]], list[pa.RecordBatch]], schema: str) -> DataFrame:
     """``compare`` over rows of ``paired``.
 

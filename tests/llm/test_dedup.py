@@ -166,11 +166,11 @@ def vectors():
     return [v.astype(np.float32) for v in rows], labels
 
 
-@pytest.mark.parametrize("block", [512, 16])
-def test_embeddings(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,dense", [(512, 8), (16, 8), (16, 0), (512, 0), (512, 10**6)])
+def test_embeddings(spark, monkeypatch, block, dense):
     from strata.llm import blocks
 
-    monkeypatch.setattr(embeddings, "paired", lambda rows, keys, member: blocks.paired(rows, keys, member, block))
+    monkeypatch.setattr(embeddings, "dealt", lambda rows, keys, member: blocks.dealt(rows, keys, member, block))
     rows, labels = vectors()
     x = np.stack(rows).astype(np.float64)
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -183,7 +183,7 @@ def test_embeddings(spark, monkeypatch, block):
     odd = [None, [], [0.0] * 64, [nan] + [1.0] * 63, [inf] + [1.0] * 63, [None] + [1.0] * 63, rows[0].tolist()]
     data += [(n + i, v, None if i == 6 else 1, 1) for i, v in enumerate(odd)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int, n int").repartition(4)
-    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.linked(df).collect()}
+    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.linked(df, dense=dense).collect()}
     expected = {i: (int(linked[i].sum()), roots[i], roots[i] == i) for i in range(n)} | {n + i: (0, n + i, True) for i in range(len(odd))}
     total = int(linked.sum())
     assert total > 2000
@@ -201,6 +201,24 @@ def test_vectors_of_several_lengths_and_types(spark):
     assert found == {1: (2, 1), 2: (2, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (2, 1)}
 
 
+def test_very_large_and_small_components(spark):
+    """Also of one component, and with labels that aren't numbers."""
+    data = [(1, [1e300, 1e300], "x"), (2, [1e-300, 1e-300], "x"), (3, [3.0, 3.1], "x"), (4, [3.0, 3.0], "y"), (5, [7.0], "x"), (6, [5e-324], "x"), (7, [-1.0], "x")]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label string")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.linked(df).collect()}
+    assert found == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(2, 20_000, 64))
+    x, y = embeddings.unit(x), embeddings.unit(y - (x * y).sum(1, keepdims=True) / (x * x).sum(1, keepdims=True) * x)
+    z = 0.93 * x + np.sqrt(1 - 0.93**2) * embeddings.unit(y - (x * y).sum(1, keepdims=True) * x)
+    unlike = np.bitwise_count(embeddings.sketches(x) ^ embeddings.sketches(z)).sum(1)
+    most = embeddings.most_unlike(0.93)
+    assert unlike.max() <= most < 80 and (np.bitwise_count(embeddings.sketches(x) ^ embeddings.sketches(y)).sum(1) > most).all()
+
+
 def test_hadamard():
     x = np.random.default_rng(0).normal(size=(3, 8))
     h = np.array([[1.0]])
