@@ -10,11 +10,15 @@ if one is lost, its part of the scan runs again.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Only where driver and executors are one process.
 FALLBACK_DIR = "/tmp/checkpoints/strata"
 
@@ -54,13 +58,26 @@ def materialize(df: DataFrame, name: str, tasks: int | None = None, row_group: i
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     few = df if tasks == 0 else df.coalesce(tasks or spark.sparkContext.defaultParallelism)
-    few.write.option("parquet.block.size", row_group).parquet(path)
+    with _shuffles_removed(spark):
+        few.write.option("parquet.block.size", row_group).parquet(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What a write has shuffled leaves the disks when it ends, not when the driver
+    next collects garbage."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Keep what a scan yields on the executors' disks, to read it again."""
     return df.persist(StorageLevel.DISK_ONLY)
