@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-import pickle
+import struct
 import uuid
 from collections.abc import Iterator
 from itertools import pairwise
@@ -60,12 +60,28 @@ BYTE = _rng.integers(1 << 63, size=(2, 256), dtype=np.uint64) << np.uint64(1) |
 STEP = _rng.integers(1 << 63, size=(2, 64), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
+ARRAY = struct.Struct("<3sBqq")
+
+
 def pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, 5))
+    """Arrays of numbers as bytes: for each its type, dimensions, rows and columns,
+    then its numbers, all compressed."""
+    parts = []
+    for x in arrays:
+        x = np.ascontiguousarray(x)
+        rows, columns = (*x.shape, 1, 1)[:2]
+        parts += [ARRAY.pack(x.dtype.str.encode(), x.ndim, rows, columns), x.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
+    while at < len(raw):
+        kind, dimensions, rows, columns = ARRAY.unpack_from(raw, at)
+        x = np.frombuffer(raw, np.dtype(kind.decode()), rows * columns, at + ARRAY.size)
+        out.append(x.reshape((rows, columns)[:dimensions]))
+        at += ARRAY.size + x.nbytes
+    return tuple(out)
 
 
 def planes(x: np.ndarray, sorted_: bool = False) -> np.ndarray:
@@ -224,16 +240,17 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
+        absent: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         data: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
             own = np.concatenate(ids)
             at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-            return _record([(uuid.uuid4().int >> 65, TEXT, 0, pack(own, np.zeros(len(own), np.int64), at, np.concatenate(data), np.arange(len(own))))])
+            return _record([(uuid.uuid4().int >> 65, TEXT, 0, pack(own, np.zeros(len(own), np.int64), at, np.concatenate(data), np.arange(len(own)), np.concatenate(absent)))])
 
         for b in batches:
-            doc = b.column(0).fill_null(NULL_ID).to_numpy()
+            doc, null = b.column(0).fill_null(NULL_ID).to_numpy(), b.column(0).is_null().to_numpy(zero_copy_only=False)
             at, raw = utf8(b.column(1))
             a = 0
             while a < b.num_rows:
@@ -241,12 +258,13 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 to = max(a + (not ids), int(np.searchsorted(at, at[a] + room, side="right")) - 1)
                 if to > a:
                     ids.append(doc[a:to])
+                    absent.append(null[a:to])
                     sizes.append(np.diff(at[a : to + 1]))
                     data.append(raw[at[a] : at[to]].copy())
                     a = to
                 if a < b.num_rows:
                     yield flush()
-                    ids, sizes, data = [], [], []
+                    ids, absent, sizes, data = [], [], [], []
         if ids:
             yield flush()
 
@@ -259,7 +277,7 @@ def _ask(length: int, threshold: int, owners: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, _, blob in _rows(batches):
-            doc, start, at, data, _ = unpack(blob)
+            doc, start, at, data, *_ = unpack(blob)
             runs = Runs(Texts(doc, start, at, data), length, threshold)
             e = Entries(runs, doc[runs.owner], owners)
             out = []
@@ -316,7 +334,7 @@ def _settle(length: int, threshold: int, owners: int):
     """Per block: the spans that the answers settle, the bytes still open."""
 
     def one(block: int, blob: bytes, replies: dict[int, bytes]) -> list[tuple[int, int, int, bytes]]:
-        doc, start, at, data, place = unpack(blob)
+        doc, start, at, data, place, *_ = unpack(blob)
         texts = Texts(doc, start, at, data)
         runs = Runs(texts, length, threshold)
         e = Entries(runs, doc[runs.owner], owners)
@@ -370,7 +388,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Remove the spans of each block's documents."""
 
     def one(blob: bytes, spans: list[bytes]) -> pa.RecordBatch:
-        doc, _, at, data, _ = unpack(blob)
+        doc, _, at, data, _, null = unpack(blob)
         cover = np.zeros(len(data) + 1, dtype=np.int32)
         for s in spans:
             place, begin, end = unpack(s)
@@ -385,7 +403,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.concatenate([[0], np.cumsum(opens)])
         kept, left = data[~gone].tobytes(), at - total[at]
         digest = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)]
-        arrays = [pa.array(doc, mask=doc == NULL_ID), pa.array(np.diff(at)), pa.array(np.diff(total[at])), pa.array(np.diff(starts[at])), pa.array(digest, pa.string())]
+        arrays = [pa.array(doc, mask=null), pa.array(np.diff(at)), pa.array(np.diff(total[at])), pa.array(np.diff(starts[at])), pa.array(digest, pa.string())]
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     now, text, spans = None, None, []
@@ -411,17 +429,16 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id"
     total = whole.agg(F.sum(F.length("blob"))).first()[0] or 0
     owners = max(1, math.ceil(2.5 * total / OWNER_BYTES))
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(2.5 * total / TASK_BYTES))
-    spread = lambda df, *keys: df.repartition(*keys).sortWithinPartitions(*keys, "kind", "owner")
+    spread = lambda df, key: df.repartition(tasks, key).sortWithinPartitions(key, "kind", "owner")
     texts, spans = whole, None
     for length in [n for n in LENGTHS if n < threshold] + [threshold]:
-        asked = texts.mapInArrow(_ask(length, threshold, owners), TABLE).repartition("owner").sortWithinPartitions("owner", "block")
-        replies = materialize(asked.mapInArrow(_reply(length, threshold), TABLE), "replies", tasks)
-        after = materialize(spread(texts.unionByName(replies), "block").mapInArrow(_settle(length, threshold, owners), TABLE), "settled", tasks)
+        asked = texts.mapInArrow(_ask(length, threshold, owners), TABLE).repartition(tasks, "owner").sortWithinPartitions("owner", "block")
+        replies = materialize(asked.mapInArrow(_reply(length, threshold), TABLE), "replies", 0)
+        after = materialize(spread(texts.unionByName(replies), "block").mapInArrow(_settle(length, threshold, owners), TABLE), "settled", 0)
         discard(replies)
         settled = after.filter(F.col("kind") == SPANS)
         spans = settled if spans is None else spans.unionByName(settled)
         texts = after.filter(F.col("kind") == TEXT)
-        spark.sparkContext._jvm.System.gc()  # so that finished shuffles leave the disks
     both = whole.unionByName(spans)
     return spread(both, "block").mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
