@@ -8,21 +8,26 @@ table, so a text's logits are the mean of its subwords' rows of that table.
 
 A temperature and a rejection threshold are fitted on training rows kept aside:
 the score is the calibrated probability of the predicted language, and a text is
-rejected if it has no letter or its score is below the threshold, chosen so that
-at most ``CLEAN_REJECTED`` of the rows kept aside are rejected and never above
-``HIGHEST_THRESHOLD``: a few words in a known language stay.
+rejected if it has no letter or its score is below the threshold.  The threshold is
+calibrated on both kinds: it rejects ``STRANGE_REJECTED`` of texts whose letters
+have been put in another order, which are words of no language, or as many as it
+can while it rejects at most ``CLEAN_REJECTED`` of the known rows.
 
 Scale: the trainer sees at most about ``SAMPLE`` labelled documents, the same
-number from each language and every distinct text once, as sparse counts that
-the executors make.  Prediction is one scan; a task holds the table (``BUCKETS`` x languages).
+number from each language and every distinct text once, as sparse counts of at most
+``MOST`` subwords that the executors make.  Prediction is one scan; a task holds the
+table (``BUCKETS`` x languages).
 
 Cases: a null text, and one without a letter, is ``und`` with score 0; a null
 language teaches nothing.  Without any labelled document every text is ``und``.
-Rows that repeat are predicted each.  Other columns are not read.
+Of languages with equal scores the first by name is taken.  Very long texts are read
+whole, in parts.  Rows that repeat are predicted each.  Other columns are not read
+by the model, whatever their names.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,15 +38,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.textops import texts
+from strata.llm.textops import release, texts
 from strata.spark import read_texts
 
 BUCKETS, SIZES, DIM = 1 << 14, (2, 3, 4), 16
 SAMPLE, ASIDE, EPOCHS, RATE, SEED = 4_000, 5, 6, 4.0, 11
-CLEAN_REJECTED, HIGHEST_THRESHOLD = 0.002, 0.4
+#: Share of known texts that may be rejected, and of strange ones that should be.
+CLEAN_REJECTED, STRANGE_REJECTED = 0.002, 0.95
+#: Subwords of a text, its most frequent ones, that training looks at.
+MOST = 4096
 UNKNOWN = "und"
 #: Bytes of text that are cut into subwords at a time.
-PART = 1 << 20
+PART = 1 << 18
 
 ASCII_LETTER = regex.compile(rb"[A-Za-z]")
 LETTER = regex.compile(r"\p{L}")
@@ -118,20 +126,46 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def scrambled(text: bytes) -> bytes:
+    """The text with its letters in another order: words of no language."""
+    signs = np.array(list(text.decode("utf-8", "replace")))
+    letters = np.flatnonzero(np.char.isalpha(signs)) if len(signs) else np.zeros(0, np.int64)
+    signs[letters] = signs[np.random.default_rng(zlib.crc32(text)).permutation(letters)]
+    return "".join(signs.tolist()).encode("utf-8")
+
+
+def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Its most frequent subwords, in order, and how often each stands there."""
+    bucket, n = np.unique(subwords([text])[1], return_counts=True)
+    if len(bucket) > MOST:
+        chosen = np.sort(np.argsort(-n, kind="stable")[:MOST])
+        bucket, n = bucket[chosen], n[chosen]
+    return bucket.astype(np.int16), n.astype(np.float32)
+
+
 def counts_of(rows: DataFrame) -> DataFrame:
-    """(lang, buckets, counts) of (lang, text)."""
+    """(lang, buckets, counts) of (lang, text), and with a null language those of
+    one in ``ASIDE`` texts, scrambled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(subwords([t])[1], return_counts=True) for t in texts(b.column(1))]
-            arrays = [b.column(0), pa.array([x[0].astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array([x[1].astype(np.float32) for x in found], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "buckets", "counts"])
+            raw = texts(b.column(1))
+            found = [(lang, *counted(t)) for lang, t in zip(b.column(0).to_pylist(), raw, strict=True)]
+            found += [(None, *counted(scrambled(t))) for t in raw if not zlib.crc32(t) % ASIDE]
+            for lang, bucket, n in found:
+                arrays = [pa.array([lang], pa.string()), pa.array([bucket], pa.list_(pa.int16())), pa.array([n], pa.list_(pa.float32()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "buckets", "counts"])
+
+    return rows.mapInArrow(run, "lang string, buckets array<short>, counts array<float>")
 
-    return rows.mapInArrow(run, "lang string, buckets array<int>, counts array<float>")
 
+def train(languages: list[str], known: list[int], buckets: list[np.ndarray], counts: list[np.ndarray], strange: list[tuple[np.ndarray, np.ndarray]] = (), dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
+    """Stochastic gradient descent on the rows, every ``ASIDE``-th kept aside.
 
-def train(languages: list[str], known: list[int], buckets: list[np.ndarray], counts: list[np.ndarray], dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
-    """Stochastic gradient descent on the rows, every ``ASIDE``-th kept aside."""
+    The threshold rejects ``STRANGE_REJECTED`` of the strange rows (buckets and
+    counts), or as many as it can without rejecting more than ``CLEAN_REJECTED`` of
+    the rows kept aside.
+    """
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 1 / dim, (BUCKETS, dim))
     weight, bias = np.zeros((dim, len(languages))), np.zeros(len(languages))
@@ -157,7 +191,11 @@ def train(languages: list[str], known: list[int], buckets: list[np.ndarray], cou
         loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(aside)), truth], 1e-12)).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
         score = softmax(logits / model.temperature).max(1)
-        model.threshold = float(min(np.quantile(score, CLEAN_REJECTED, method="lower"), HIGHEST_THRESHOLD))
+        model.threshold = float(np.quantile(score, CLEAN_REJECTED, method="lower"))
+        other = np.array([n / max(n.sum(), 1) @ table[b] + bias for b, n in strange if len(b)]).reshape(-1, len(languages))
+        if len(other):
+            unlike = softmax(other / model.temperature).max(1)
+            model.threshold = min(model.threshold, float(np.quantile(unlike, STRANGE_REJECTED, method="higher")))
     return model
 
 
@@ -168,7 +206,7 @@ def learn(rows: DataFrame, sample: int = SAMPLE) -> Model:
     sample / languages of them; a text that many rows share counts once.
     """
     rows = rows.filter(F.col("lang").isNotNull()).withColumn("_key", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("_key", 0.02).alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     each = sample / len(sizes)
@@ -176,12 +214,15 @@ def learn(rows: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = rows.filter(F.col("_key") < limit[F.col("lang")]).select("lang", "text").distinct()
     found = counts_of(chosen).toArrow()
     languages = sorted(sizes)
-    known = [languages.index(x) for x in found.column(0).to_pylist()]
     buckets, counts = ([x.values.to_numpy(zero_copy_only=False) for x in found.column(i)] for i in (1, 2))
+    told = found.column(0).to_pylist()
+    strange = [(b, n) for lang, b, n in zip(told, buckets, counts, strict=True) if lang is None]
+    buckets, counts = ([x for lang, x in zip(told, xs, strict=True) if lang is not None] for xs in (buckets, counts))
+    known = [languages.index(x) for x in told if x is not None]
     # an order that doesn't depend on partitions
     order = sorted(range(len(known)), key=lambda i: (known[i], len(buckets[i]), float(counts[i].sum()), buckets[i].tobytes(), counts[i].tobytes()))
     mixed = np.random.default_rng(SEED).permutation(order).tolist() if order else []
-    return train(languages, [known[i] for i in mixed], [buckets[i] for i in mixed], [counts[i] for i in mixed])
+    return train(languages, [known[i] for i in mixed], [buckets[i] for i in mixed], [counts[i] for i in mixed], strange)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", name: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -190,6 +231,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", name: str =
     at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             names, scores = model.predict(texts(b.column(at)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*columns, name, score])

@@ -7,6 +7,8 @@ splits on.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 
@@ -34,6 +36,12 @@ def texts(column: pa.Array) -> list[bytes]:
     return [whole[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+def release() -> None:
+    """Free what a stage that made tokens has left in this Python worker."""
+    if tokens := sys.modules.get("strata.llm.tokens"):
+        tokens.release()
+
+
 def per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     """How many flags are set in each text."""
     total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])

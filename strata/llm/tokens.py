@@ -179,6 +179,11 @@ class Encoder:
 _loaded: dict[str, Encoder] = {}
 
 
+def release() -> None:
+    """Forget the encoders of this worker."""
+    _loaded.clear()
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each file and Python worker."""
     if path not in _loaded:

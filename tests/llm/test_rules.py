@@ -124,6 +124,60 @@ def test_prediction_is_the_mean_of_the_table():
         assert name == "ab"[p.argmax()] and score == pytest.approx(p.max())
 
 
+def buckets_by_hand(text: bytes) -> list[int]:
+    """Every n-gram of letters and boundaries, hashed sign by sign."""
+    signs = [0, *(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 0 for c in text), 0]
+    out = []
+    for n in (2, 3, 4):
+        for p in range(len(signs) - n + 1):
+            gram = signs[p : p + n]
+            if 0 in gram[1:-1] or not any(gram):
+                continue
+            code = n * 2654435761 & 0xFFFFFFFF
+            for sign in gram:
+                code = (code ^ sign) * 16777619 & 0xFFFFFFFF
+                code ^= code >> 15
+            out.append(code % langid.BUCKETS)
+    return sorted(out)
+
+
+def test_predictions_by_hand(spark):
+    """The model's answer, from its embeddings' table and nothing else of its code."""
+    train = [(i, f"the cat and the dog number {i} went home together", "en") for i in range(80)] + [(100 + i, f"der hund und die katze nummer {i} gingen zusammen heim", "de") for i in range(80)]
+    df = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    model = langid.learned(df)
+    odd = ["", "a", "Größe, 12 日本!", "THE end\n\nof a Line", "x" * 5000, " der  hund ", "é"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    for r in langid.identify(rows, model).collect():
+        found = buckets_by_hand(r["text"].encode())
+        _, index = langid.subwords([r["text"].encode()])
+        assert sorted(index.tolist()) == found
+        z = (np.mean([model.table[b] for b in found], axis=0) if found else 0) + model.bias
+        e = np.exp(z / model.temperature - np.max(z / model.temperature))
+        if r["text"]:
+            assert r["lang_pred"] == model.languages[int(np.argmax(e))] and r["score"] == pytest.approx((e / e.sum()).max())
+        else:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+
+
+def test_strange_texts_are_rejected():
+    """Words of no learned language mostly go, those of known ones stay."""
+    import duckdb
+
+    rows = duckdb.sql("SELECT text, lang FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL AND lang IS NOT NULL AND length(text) > 300 ORDER BY doc_id").fetchall()
+    languages = sorted({x for _, x in rows})
+    known = [(t.encode(), languages.index(x)) for t, x in rows]
+    counted = [langid.counted(t) for t, _ in known]
+    strange = [langid.counted(langid.scrambled(t)) for t, _ in known[::5]]
+    model = langid.train(languages, [k for _, k in known], [b for b, _ in counted], [n for _, n in counted], strange)
+    other = [langid.scrambled(t + b"x") for t, _ in known[1::5]]
+    assert sorted(other[0].decode()) == sorted(known[1][0].decode() + "x") and other[0] != known[1][0] + b"x"
+    rejected = model.predict(other)[1] < model.threshold
+    kept = model.predict([t for t, _ in known])[1] >= model.threshold
+    print(rejected.mean(), kept.mean(), model.threshold)
+    assert kept.mean() >= 0.99 and rejected.mean() >= 0.5
+
+
 def test_subwords_end_at_boundaries():
     index, bucket = langid.subwords([b"ab", b"ab cd", b""])
     per = [sorted(bucket[index == i].tolist()) for i in range(3)]
