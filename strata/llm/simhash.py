@@ -9,9 +9,10 @@ cut of the 64 bits, so each fingerprint goes into a shard for every choice of
 blocks that may agree.  Each shard gets a BK-tree: children are keyed by their
 Hamming distance to the parent, and a search follows only the edges within the
 radius of the distance at hand.  This finds every pair; no shard is too large,
-as large ones are cut into pairs of blocks (see ``blocks``).  The trees are
-built where their shard's rows are and not broadcast: together they are as large
-as the set of fingerprints.
+as large ones are cut into pairs of blocks (see ``blocks``).  Every link is found
+along tree edges, also in shards of two.  A tree goes to the one task that searches
+it, where its shard's rows are, and not to all by broadcast: together the trees are
+as large as the set of fingerprints, which would have to pass through the driver.
 
 Scale: texts are hashed in the scan.  Equal fingerprints are merged before the
 search, so copies cost nothing.  The number of blocks follows the number of
@@ -20,7 +21,8 @@ fingerprints: shards stay small, and every choice is exact.
 Cases: a null text, like one without words, has fingerprint zero and is linked
 like any other; a text of one or two words is one shingle.  Rows that repeat get
 a row each; a null doc_id takes part, and its component is named by the smallest
-doc_id that isn't null.  Empty tables give empty results.
+doc_id that isn't null.  Very long texts are hashed whole.  Empty tables give empty
+results.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ from pyspark.sql import functions as F
 
 from strata.llm.blocks import in_groups, paired
 from strata.llm.components import components
-from strata.llm.textops import texts
-from strata.spark import kept, materialize, read_texts
+from strata.llm.textops import release, texts
+from strata.spark import materialize, read_texts
 
 SHINGLE, RADIUS, HASH_SEED = 3, 3, 42
 #: Blocks that the bits are cut into, while there are at most so many fingerprints.
@@ -64,6 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = [f"key{i}" for i in range(len(keys))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in texts(b.column(1))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], names=["doc_id", "fp", *names])
@@ -144,10 +147,7 @@ def _compare(radius: int):
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             if lo[a] != hi[a] and block[a] == block[b - 1]:
                 continue
-            if b - a == 2:
-                if (codes[a] ^ codes[a + 1]).bit_count() <= radius:
-                    edges.append((a, a + 1))
-            elif b - a > 2:
+            if b - a > 1:
                 first = int(np.searchsorted(block[a:b], block[a], side="right"))
                 edges += [(a + i, a + j) for i, j in _search(codes[a:b], first, radius)]
         at = np.array(edges, dtype=np.int64).reshape(-1, 2)
@@ -189,5 +189,5 @@ def groups(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: fingerprint and component of every document."""
-    fps = kept(fingerprints(read_texts(spark, sf_dir, "documents")))
+    fps = materialize(fingerprints(read_texts(spark, sf_dir, "documents")), "prints", 0)
     return groups(fps).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -219,6 +219,18 @@ def test_sketches_keep_pairs_at_the_threshold():
     assert unlike.max() <= most < 80 and (np.bitwise_count(embeddings.sketches(x) ^ embeddings.sketches(y)).sum(1) > most).all()
 
 
+def test_fingerprints_of_long_texts(spark):
+    words = [f"w{i % 997}" for i in range(120_000)]
+    rows = spark.createDataFrame([(1, " ".join(words), "a"), (2, "x" * 1_000_000, "b"), (3, None, "c")], "doc_id long, text string, fp string")
+    got = {r["doc_id"]: r["fp"] for r in simhash.groups(simhash.fingerprints(rows)).collect()}
+    for i, text in ((1, words), (2, ["x" * 1_000_000])):
+        grams = [" ".join(text[k : k + 3]) for k in range(len(text) - 2)] or [" ".join(text)]
+        hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert got[i] == bits - (1 << 64 if bits >> 63 else 0)
+    assert got[3] == 0
+
+
 def test_hadamard():
     x = np.random.default_rng(0).normal(size=(3, 8))
     h = np.array([[1.0]])
