@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strata.llm import langid, linededup, mixing, packing, simhash
 from strata.llm.tokens import vocabulary_path
-from strata.spark import columns_of, for_texts, kept, materialize, read_texts, row_key
+from strata.spark import columns_of, for_texts, materialize, read_texts, row_key
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     a 5-word Jaccard similarity of 0.8 are further apart and stay (see README).
     """
     for_texts(spark)
-    fps = kept(simhash.fingerprints(docs, keys=row_key(docs)))
+    fps = materialize(simhash.fingerprints(docs, keys=row_key(docs)), "prints", 0)
     first = simhash.groups(fps).groupBy("root").agg(F.min(F.struct("doc_id", "key0", "key1")).alias("m"))
     first = first.select(F.col("m.key0").alias("_r1"), F.col("m.key1").alias("_r2"))
     r1, r2 = row_key(docs)
