@@ -237,7 +237,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", name: str =
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*columns, name, score])
 
     out = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())])
-    return docs.mapInArrow(run, out)
+    # mapInArrow takes a point in a name for a field of a struct
+    return docs.toDF(*(f"c{i}" for i in range(len(columns)))).mapInArrow(run, out)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
