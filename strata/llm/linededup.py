@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.llm.textops import free_name
 from strata.spark import columns_of, read_texts, row_key
 
 WINDOW = 3
@@ -83,17 +84,19 @@ def between(lines: Column, starts: Column, size: int = WINDOW) -> Column:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, n_lines: str | None = None, n_removed: str | None = None) -> DataFrame:
     """``docs`` with repeated lines gone from the text; the numbers of lines and
     of removed lines in the columns named, if any."""
-    found = repeats(docs, id_col, text_col, size).select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2"), F.col("starts").alias("_starts"))
+    k1, k2, starts, lines, kept = (free_name(docs, n) for n in ("_r1", "_r2", "_starts", "_lines", "_kept"))
+    found = repeats(docs, id_col, text_col, size).select(F.col("r1").alias(k1), F.col("r2").alias(k2), F.col("starts").alias(starts))
     r1, r2 = row_key(docs)
-    joined = docs.select("*", r1.alias("_r1"), r2.alias("_r2")).join(found, ["_r1", "_r2"], "left")
-    split = joined.withColumn("_lines", lines_of(F.col(text_col))).withColumn("_kept", F.when(F.col("_starts").isNotNull(), between(F.col("_lines"), F.col("_starts"), size)))
-    text = F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))
+    # texts are dealt, but not sorted: the positions make the hash table
+    joined = docs.select("*", r1.alias(k1), r2.alias(k2)).join(found.hint("shuffle_hash"), [k1, k2], "left")
+    split = joined.withColumn(lines, lines_of(F.col(text_col))).withColumn(kept, F.when(F.col(starts).isNotNull(), between(F.col(lines), F.col(starts), size)))
+    text = F.when(F.col(kept).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     columns = [text.alias(c) if c == text_col else own for c, own in zip(docs.columns, columns_of(docs), strict=True)]
-    total = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
+    total = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     if n_lines:
         columns.append(F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(total).alias(n_lines))
     if n_removed:
-        columns.append(F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long").alias(n_removed))
+        columns.append(F.coalesce(F.size(lines) - F.size(kept), F.lit(0)).cast("long").alias(n_removed))
     return split.select(*columns)
 
 

@@ -11,6 +11,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -36,6 +37,14 @@ def texts(column: pa.Array) -> list[bytes]:
     return [whole[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release() -> None:
     """Free what a stage that made tokens has left in this Python worker."""
     if tokens := sys.modules.get("strata.llm.tokens"):
