@@ -18,7 +18,9 @@ random numbers depend on the rows alone, not on their partitions.
 
 Cases: a null text counts 0 words and, like every document without words, is
 never taken; a null source is a source of its own, ordered last.  Rows that
-repeat in all columns are rounded together and their copies dealt evenly.
+repeat in all columns are rounded together and their copies dealt evenly; a tie
+between two documents is settled by a random number that follows from their group.
+Words of very long texts are counted whole, and such a document is still one item.
 Empty tables give empty results.  Columns that aren't named are ignored here;
 ``mixed`` carries all columns of its input.
 """
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.textops import word_counts
+from strata.llm.textops import free_name, word_counts
 from strata.spark import columns_of, materialize, read_texts, row_key
 
 WEIGHTS, SHARE, MOST_COPIES, SEED = (5, 2, 1), 1.0, 3, 2024
@@ -179,26 +181,27 @@ def unfolded(rows: DataFrame, n: str, name: str, part: int = 4096) -> DataFrame:
     few = rows.filter(F.col(n) <= part).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
     many = rows.filter(F.col(n) > part).withColumn(first, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(part).cast("long"))))
     many = many.repartition(F.col(first)).withColumn(name, F.explode(F.sequence(F.col(first), F.least(F.col(first) + part, F.col(n)) - 1))).drop(first)
-    return few.unionByName(many)
+    return few.union(many)
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """A name that no column of ``df`` has."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def marked_rows(docs: DataFrame, keys: DataFrame, k1: str, k2: str, rows: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with the columns of ``keys``, which has a row for each chosen row
+    key: the rows that stand alone, and of those that repeat one each.
+
+    ``rows`` names the column of ``keys`` that says how often a row stands in
+    ``docs``.  Texts are dealt once, but not sorted: the keys make the hash table.
+    """
+    r1, r2 = row_key(docs)
+    joined = docs.select("*", r1.alias(k1), r2.alias(k2)).join(keys.hint("shuffle_hash"), [k1, k2])
+    return joined.filter(F.col(rows) == 1), joined.filter(F.col(rows) > 1).dropDuplicates([k1, k2])
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents, each as often as it is taken, with their own columns."""
-    k1, k2, total, copy = (free_name(docs, n) for n in ("_r1", "_r2", "_total", "_copy"))
-    taken = copies(docs, **options).filter(F.col("total") > 0).select(F.col("r1").alias(k1), F.col("r2").alias(k2), F.col("total").alias(total))
-    r1, r2 = row_key(docs)
-    # equal rows stand for each other: one of them carries the copies of all
-    once = docs.select("*", r1.alias(k1), r2.alias(k2)).dropDuplicates([k1, k2])
-    rows = once.join(taken, [k1, k2])
-    return unfolded(rows, total, copy).select(*columns_of(docs))
+    k1, k2, total, copy, rows = (free_name(docs, n) for n in ("_r1", "_r2", "_total", "_copy", "_rows"))
+    taken = copies(docs, **options).filter(F.col("total") > 0).select(F.col("r1").alias(k1), F.col("r2").alias(k2), F.col("total").alias(total), F.col("n_rows").alias(rows))
+    alone, several = marked_rows(docs, taken, k1, k2, rows)
+    return alone.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(total)))).select(*columns_of(docs)).union(unfolded(several, total, copy).select(*columns_of(docs)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
