@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -34,8 +34,8 @@ DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Characters whose case, normal form and class are the same everywhere.
 PLAIN = r"\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ–—‘’“”•…¡¿«»"
 NOT_PLAIN = re.compile(f"[^{PLAIN}]|<\\|")
-PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
-#: The file's pattern that PRE_TOKEN stands for.
+PRE_TOKEN = re.compile(r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: The file's pattern that PRE_TOKEN stands for, with letters tried first.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -55,12 +55,12 @@ class Memory:
     def __init__(self, most: int):
         self.most, self.young, self.old = most, {}, {}
 
-    def holding(self, keys: set, compute: Callable[[list], list[bytes]]) -> dict:
-        """A dictionary with at least these keys."""
+    def holding(self, keys: Iterable, compute: Callable[[list], list[bytes]]) -> dict:
+        """A dictionary with at least these keys, which may repeat."""
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        if missing := keys - young.keys():
+        if missing := {k for k in keys if k not in young}:
             back = missing & old.keys()
             young.update((k, old[k]) for k in back)
             new = list(missing - back)
@@ -123,7 +123,7 @@ class Encoder:
         """The ids of pieces."""
         texts = [p.decode("utf-8") for p in pieces]
         split = [PRE_TOKEN.findall(t.lower()) if self.ends is not None and not NOT_PLAIN.search(t) else None for t in texts]
-        runs = self.runs.holding({x for parts in split if parts for x in parts}, self._encode_runs)
+        runs = self.runs.holding((x for parts in split if parts for x in parts), self._encode_runs)
         others = iter(self._encode([t for t, parts in zip(texts, split, strict=True) if parts is None]))
         return [next(others) if parts is None else b"".join([runs[x] for x in parts]) for parts in split]
 
@@ -142,7 +142,7 @@ class Encoder:
         """For a slice of texts at a time: their pieces, and the ids of each."""
         for part in self._slices(texts):
             split = [t.split() for t in part] if self.by_piece else [[t] for t in part]
-            yield split, self.pieces.holding(set(chain.from_iterable(split)), self._learn)
+            yield split, self.pieces.holding(chain.from_iterable(split), self._learn)
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -158,7 +158,7 @@ class Encoder:
                 plain.append((i, PRE_TOKEN.findall(text.lower())))
             else:
                 others.append(i)
-        get = self.runs.holding(set(chain.from_iterable(parts for _, parts in plain)), self._encode_runs).__getitem__
+        get = self.runs.holding(chain.from_iterable(parts for _, parts in plain), self._encode_runs).__getitem__
         for i, parts in plain:
             out[i] = b"".join(map(get, parts))
         at = 0
