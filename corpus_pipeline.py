@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import langid, linededup, mixing, packing, simhash
+from strata.llm.textops import free_name
 from strata.llm.tokens import vocabulary_path
 from strata.spark import columns_of, for_texts, materialize, read_texts, row_key
 
@@ -19,8 +20,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     those whose score is below its threshold."""
     for_texts(spark)
     model = langid.learned(docs)
-    found = langid.identify(docs, model, name="_lang_pred", score="_lang_score")
-    return found.filter((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= F.lit(model.threshold))).select(*columns_of(docs))
+    name, score = free_name(docs, "_lang_pred"), free_name(docs, "_lang_score")
+    found = langid.identify(docs, model, name=name, score=score)
+    return found.filter((F.col(name) != langid.UNKNOWN) & (F.col(score) >= F.lit(model.threshold))).select(*columns_of(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +40,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     a 5-word Jaccard similarity of 0.8 are further apart and stay (see README).
     """
     for_texts(spark)
-    fps = materialize(simhash.fingerprints(docs, keys=row_key(docs)), "prints", 0)
-    first = simhash.groups(fps).groupBy("root").agg(F.min(F.struct("doc_id", "key0", "key1")).alias("m"))
-    first = first.select(F.col("m.key0").alias("_r1"), F.col("m.key1").alias("_r2"))
-    r1, r2 = row_key(docs)
-    rows = docs.select("*", r1.alias("_r1"), r2.alias("_r2")).join(first, ["_r1", "_r2"])
-    return rows.dropDuplicates(["_r1", "_r2"]).select(*columns_of(docs))
+    each = materialize(simhash.fingerprints(docs, keys=row_key(docs)), "prints", 0)
+    # rows that are equal in all columns share their key
+    fps = each.groupBy("doc_id", "fp", "key0", "key1").agg(F.count(F.lit(1)).alias("n"))
+    first = simhash.groups(fps).groupBy("root").agg(F.min(F.struct("doc_id", "key0", "key1", "n")).alias("m"))
+    k1, k2, n = (free_name(docs, name) for name in ("_r1", "_r2", "_rows"))
+    first = first.select(F.col("m.key0").alias(k1), F.col("m.key1").alias(k2), F.col("m.n").alias(n))
+    alone, several = mixing.marked_rows(docs, first, k1, k2, n)
+    return alone.union(several).select(*columns_of(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

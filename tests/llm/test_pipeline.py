@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from strata.llm import langid, packing, simhash
 from strata.llm.tokens import encoder, vocabulary_path
@@ -92,3 +94,14 @@ def test_odd_rows(spark, tiny):
         empty = stage(spark, empty, tiny)
         assert empty.columns == docs.columns and empty.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, empty, tiny).count() == 0
+
+
+def test_columns_of_any_name(spark, tiny):
+    """Also names that the stages use themselves."""
+    names = ["_r1", "_r2", "_starts", "_lines", "_kept", "_lang_pred", "_lang_score", "_total", "_copy", "_first", "odd.name"]
+    docs = read_table(spark, tiny, "documents").limit(40).withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, tiny).cache()
+        assert docs.count() > 30
+        assert docs.columns[-len(names) :] == names
+        assert all(tuple(r)[-len(names) :] == tuple(range(len(names))) for r in docs.collect())
