@@ -54,41 +54,13 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 # --- checksums -------------------------------------------------------------
 
 
-def _times(matrix: list[int], vector: int) -> int:
-    out, at = 0, 0
-    while vector:
-        if vector & 1:
-            out ^= matrix[at]
-        vector >>= 1
-        at += 1
-    return out
-
-
-class Shift:
-    """CRC-32 over the bits of GF(2): the effect of appending zero bytes."""
-
-    def __init__(self):
-        one = [zlib.crc32(b"\0", 1 << i ^ 0xFFFFFFFF) ^ 0xFFFFFFFF for i in range(32)]
-        self.powers = [one]
-        self.cached: dict[int, list[int]] = {}
-
-    def by(self, n: int) -> list[int]:
-        if n not in self.cached:
-            out, at, left = [1 << i for i in range(32)], 0, n
-            while left:
-                if at == len(self.powers):
-                    last = self.powers[-1]
-                    self.powers.append([_times(last, x) for x in last])
-                if left & 1:
-                    out = [_times(self.powers[at], x) for x in out]
-                left >>= 1
-                at += 1
-            self.cached[n] = out
-        return self.cached[n]
-
-    def suffix(self, whole: int, prefix: int, length: int) -> int:
-        """crc32(b) from crc32(a + b), crc32(a) and len(b)."""
-        return whole ^ _times(self.by(length), prefix)
+def suffix_checksum(whole: int, prefix: int, length: int) -> int:
+    """crc32(b) from crc32(a + b), crc32(a) and len(b).
+
+    Checksums are linear: that of a + b is that of b and, added bit by bit, that of
+    a carried on over as many zero bytes as b has.
+    """
+    return whole ^ zlib.crc32(bytes(length), prefix ^ 0xFFFFFFFF) ^ 0xFFFFFFFF
 
 
 # --- the plan, from counts by length -----------------------------------------
@@ -269,7 +241,6 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     rows = ranked.join(before, ["rest", "g"]).select("doc_id", "doc_tokens", "whole_crc", "rest", "rest_crc", (F.col("before") + F.col("in_equal")).alias("rank"), "first")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = Shift()
         for b in batches:
             out: list[tuple] = []
             for doc_id, tokens, whole, rest, crcs, rank, first in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
@@ -281,7 +252,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
                         to = start + n
                         crc = crcs[-1] if to == rest else crcs[to // grid - 1]
                         if start:
-                            crc = shift.suffix(crc, crcs[start // grid - 1], 4 * n)
+                            crc = suffix_checksum(crc, crcs[start // grid - 1], 4 * n)
                         out.append((doc_id, cut + start, n, crc, tokens, sequence, offset))
             columns = list(zip(*out, strict=True)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])

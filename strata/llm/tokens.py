@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 #: Spark runs a worker for each core already.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -84,8 +84,20 @@ class Encoder:
         if self.by_piece and suffix and self._pattern(told) == PATTERN:
             self.ends = np.zeros(max(self.library.get_vocab().values()) + 1, dtype=bool)
             self.ends[[i for token, i in told["model"]["vocab"].items() if token.endswith(suffix)]] = True
+        self.words = self._words(path) if self.ends is not None else self.library
         self.pieces, self.runs = Memory(REMEMBERED), Memory(REMEMBERED)
 
+    @staticmethod
+    def _words(path: str) -> Tokenizer:
+        """The library for plain lower-case pre-tokens with blanks between them: its
+        steps before the merges come down to a split at white space."""
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        library.normalizer = normalizers.Sequence([])
+        library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return library
+
     @staticmethod
     def _splits_at_space(told: dict) -> bool:
         steps = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -110,7 +122,7 @@ class Encoder:
         out: list[bytes] = []
         for at in range(0, len(runs), 5_000):
             part = runs[at : at + 5_000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             to = np.flatnonzero(self.ends[ids]) + 1
             if len(to) == len(part) and to[-1] == len(ids):
                 whole, to = ids.tobytes(), (to * 4).tolist()
