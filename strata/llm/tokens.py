@@ -6,10 +6,13 @@ one after the other.  ``Encoder`` checks that property of the file when it
 loads it and otherwise hands whole texts to the library.
 
 Texts of plain characters (ASCII, Latin letters, common quotation marks) are cut
-into pre-tokens by the file's own pattern, which for such characters means the
-same here as in the library.  New pre-tokens go to the library many at a time,
-as one text; the vocabulary's end-of-word tokens tell them apart afterwards.
-Pieces of any other text go to the library one by one.
+into pre-tokens by the file's own pattern, which for such characters comes down to
+a class of each byte and a few contractions.  That is done for many texts at once
+in arrays (``Plain``), and a pre-token is known by a 64-bit hash of its bytes and
+its length.  New pre-tokens go to the library many at a time, as one text; the
+vocabulary's end-of-word tokens tell them apart afterwards.  Very long plain texts
+are cut by the pattern itself, and pieces of any other text go to the library one
+by one.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -28,6 +31,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries of a generation of remembered pieces or pre-tokens.
 REMEMBERED = 200_000
+#: Bytes of plain texts that are cut at once, and of a text that is cut alone.
+AT_ONCE, LONG_TEXT = 1 << 18, 1 << 20
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 
@@ -68,6 +73,116 @@ class Memory:
         return young
 
 
+_at = np.arange(256)
+#: Capital letters as small ones; the second bytes of Latin letters follow below.
+FOLD = np.where((_at >= 65) & (_at <= 90), _at + 32, _at).astype(np.uint8)
+SPACE, LETTER, DIGIT, SIGN = range(4)
+CLASS = np.select([np.isin(_at, [9, 10, 11, 12, 13, 32]), (_at >= 97) & (_at <= 122) | (_at == 0xC3), (_at >= 48) & (_at <= 57)], [SPACE, LETTER, DIGIT], SIGN).astype(np.uint8)
+
+
+class Plain:
+    """Ids of plain texts, from arrays of their bytes.
+
+    Pre-tokens are looked up in a table of hashes with open addressing, which is
+    begun anew when it holds ``most`` of them.
+    """
+
+    BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], bits: int = 20, most: int = 1 << 19):
+        self.encode, self.bits, self.most = encode, bits, most
+        self.powers = self.inverse = np.zeros(0, np.uint64)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.place = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.first, self.count, self.held = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, "<u4")
+        self.n = self.used = 0
+
+    @staticmethod
+    def _room(x: np.ndarray, n: int) -> np.ndarray:
+        return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+    def _powers(self, n: int) -> None:
+        if n > len(self.powers):
+            one = np.ones(1, np.uint64)
+            for name, base in (("powers", self.BASE), ("inverse", pow(self.BASE, -1, 1 << 64))):
+                setattr(self, name, np.concatenate([one, np.multiply.accumulate(np.full(n - 1, base, np.uint64))]))
+
+    @staticmethod
+    def cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pre-tokens begin and end in small letters, three blanks behind."""
+        kind = CLASS[data]
+        kind[np.flatnonzero(data == 0xC3) + 1] = LETTER
+        inside = kind != SPACE
+        start = inside.copy()
+        start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        # contractions: an apostrophe that no other sign goes before
+        quote = np.flatnonzero(start & (data == 0x27))
+        one, two = data[quote + 1], data[quote + 2]
+        short = np.isin(one, list(b"stmd"))
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        some = short | long
+        start[quote[some] + 1] = False
+        behind = quote[some] + np.where(short[some], 2, 3)
+        start[behind[kind[behind] == LETTER]] = True
+        stop = inside.copy()
+        stop[:-1] &= ~inside[1:] | start[1:]
+        return np.flatnonzero(start), np.flatnonzero(stop) + 1
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        ids = [np.frombuffer(x, "<u4") for x in self.encode(words)]
+        size = np.array([len(x) for x in ids])
+        n, used = self.n + len(ids), self.used + int(size.sum())
+        self.first, self.count, self.held = self._room(self.first, n), self._room(self.count, n), self._room(self.held, used)
+        self.first[self.n : n], self.count[self.n : n] = self.used + np.cumsum(size) - size, size
+        self.held[self.used : used] = np.concatenate(ids)
+        last, mask = 64 - self.bits, (1 << self.bits) - 1
+        for i, key in enumerate(keys.tolist(), self.n):
+            at = key >> last
+            while self.keys[at]:
+                at = at + 1 & mask
+            self.keys[at], self.place[at] = key, i
+        self.n, self.used = n, used
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Each text's ids."""
+        joined = b" ".join(texts) + b"   "
+        data = FOLD[np.frombuffer(joined, np.uint8)]
+        second = np.flatnonzero(data == 0xC3) + 1
+        data[second] += np.where(data[second] <= 0x9E, 32, 0).astype(np.uint8)
+        begin, end = self.cut(data)
+        self._powers(len(data))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)])])
+        key = (total[end] - total[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64) * self.MIX
+        key = (key ^ key >> np.uint64(32)) * self.MIX
+        key ^= key >> np.uint64(29)
+        key[key == 0] = 1
+        if self.n > self.most:
+            self._clear()
+        known = np.full(len(key), -1, np.int64)
+        todo, slot = np.arange(len(key)), (key >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(todo):
+            there = self.keys[slot]
+            hit = there == key[todo]
+            known[todo[hit]] = self.place[slot[hit]]
+            on = ~hit & (there != 0)
+            todo, slot = todo[on], slot[on] + 1 & (1 << self.bits) - 1
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            keys, first, which = np.unique(key[new], return_index=True, return_inverse=True)
+            small = data.tobytes()
+            before = self.n
+            self._learn(keys, [small[a:z].decode() for a, z in zip(begin[new[first]].tolist(), end[new[first]].tolist(), strict=True)])
+            known[new] = before + which
+        size = self.count[known]
+        to = np.concatenate([[0], np.cumsum(size)])
+        found = self.held[np.repeat(self.first[known] - to[:-1], size) + np.arange(to[-1])].tobytes()
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cut = (to[np.searchsorted(begin, starts)] * 4).tolist()
+        return [found[a:z] for a, z in pairwise(cut)]
+
+
 class Encoder:
     """ids of texts, as the library gives them without added special tokens."""
 
@@ -86,6 +201,7 @@ class Encoder:
             self.ends[[i for token, i in told["model"]["vocab"].items() if token.endswith(suffix)]] = True
         self.words = self._words(path) if self.ends is not None else self.library
         self.pieces, self.runs = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.plain = Plain(self._encode_runs)
 
     @staticmethod
     def _words(path: str) -> Tokenizer:
@@ -162,17 +278,27 @@ class Encoder:
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        plain: list[tuple[int, list[str]]] = []
-        others: list[int] = []
+        plain, size, others = [], 0, []
+
+        def flush() -> None:
+            for i, ids in zip(plain, self.plain.ids([texts[i] for i in plain]), strict=True):
+                out[i] = ids
+
         for i, raw in enumerate(texts):
             text = raw.decode("utf-8")
-            if self.ends is not None and not NOT_PLAIN.search(text):
-                plain.append((i, PRE_TOKEN.findall(text.lower())))
-            else:
+            if self.ends is None or NOT_PLAIN.search(text):
                 others.append(i)
-        get = self.runs.holding(chain.from_iterable(parts for _, parts in plain), self._encode_runs).__getitem__
-        for i, parts in plain:
-            out[i] = b"".join(map(get, parts))
+            elif len(raw) > LONG_TEXT:
+                parts = PRE_TOKEN.findall(text.lower())
+                out[i] = b"".join(map(self.runs.holding(parts, self._encode_runs).__getitem__, parts))
+            else:
+                plain.append(i)
+                size += len(raw)
+                if size > AT_ONCE:
+                    flush()
+                    plain, size = [], 0
+        if plain:
+            flush()
         at = 0
         for split, known in self.batches([texts[i] for i in others]):
             for pieces in split:

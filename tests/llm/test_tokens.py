@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strata.llm import packing, token_counts
-from strata.llm.tokens import encoder, vocabulary_path
+from strata.llm.tokens import Plain, encoder, vocabulary_path
 
 PATH = vocabulary_path()
 ODD = ["", "   \n", "don't WON'T we're ''s 'S '' 'll'd", "Ünï <|endoftext|> x<|startoftext|>y", "Σας ΟΔΟΣ İstanbul", "áé ﬁ ½ 12³", "\x00\x1f\x85\xa0 x", "日本語 한국어", "“q” ‘z’ —–…", "x_y 1234 12a34b", "<| x |>", "é é"]
@@ -216,3 +216,18 @@ def test_ten_thousand_equal_rows(spark):
     assert sum(len(p) for p in by_sequence.values()) >= 10_000
     assert sum(n for p in by_sequence.values() for _, n in p) == 10_000 * (len(library("a few words")) + 1)
     assert all(sum(n for _, n in sorted(p)[:i]) == sorted(p)[i][0] for p in by_sequence.values() for i in range(len(p)))
+
+
+def test_plain_texts_in_arrays():
+    """Contractions, signs, digits and Latin letters, cut as the library does, also
+    when the table is begun anew."""
+    rng = random.Random(9)
+    signs = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'", "''", "!'s", "S", "RE", "ll", "Ll", "éÀ", "ß", "Ö", "ÿ", "«", "»", "¿", "–", "”", "…", "12", "7", " ", "  ", "\n", "\t", "\x0b", "word", "Don", "_", "<", "|>", "~"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(0, 30))) for _ in range(600)]
+    texts += ["", " ", "'", "x'", "it's", "'s" * 9, "we'll've", "a'b'c", "'12's", "Æ'S"]
+    enc = encoder(PATH)
+    plain = Plain(enc._encode_runs, bits=14, most=200)
+    for at in range(0, len(texts), 61):
+        part = [t.encode() for t in texts[at : at + 61]]
+        got = plain.ids(part)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library(t) for t in texts[at : at + 61]]
