@@ -218,13 +218,13 @@ def count_tokens(docs: DataFrame, path: str, budget: int = BUDGET, id_col: str =
         prefixes = Prefixes(enc)
         for b in batches:
             raw = texts(b.column(1))
-            n_tokens, fit, at = [], [], 0
-            for split, known in enc.batches(raw):
-                for pieces in split:
-                    ends = list(accumulate([len(known[p]) >> 2 for p in pieces], initial=0))
-                    n_tokens.append(ends[-1])
-                    fit.append(longest_within(raw[at], pieces, ends, budget, prefixes))
-                    at += 1
+            n_tokens, fit = [], []
+            for text, ends in zip(raw, enc.tables(raw), strict=True):
+                n_tokens.append(int(ends[-1]))
+                if ends[-1] <= budget:
+                    fit.append(len(text.decode("utf-8")))
+                else:
+                    fit.append(longest_within(text, text.split() if enc.by_piece else [text], ends.tolist(), budget, prefixes))
             arrays = [b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > budget for n in n_tokens], pa.bool_()), pa.array(fit, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 

@@ -11,8 +11,8 @@ a class of each byte and a few contractions.  That is done for many texts at onc
 in arrays (``Plain``), and a pre-token is known by a 64-bit hash of its bytes and
 its length.  New pre-tokens go to the library many at a time, as one text; the
 vocabulary's end-of-word tokens tell them apart afterwards.  Very long plain texts
-are cut by the pattern itself, and pieces of any other text go to the library one
-by one.
+are cut by the pattern itself, a piece at a time, and pieces of any other text go
+to the library one by one.
 """
 
 from __future__ import annotations
@@ -145,8 +145,9 @@ class Plain:
             self.keys[at], self.place[at] = key, i
         self.n, self.used = n, used
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids."""
+    def _known(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The joined texts, where pre-tokens begin and end, which entries they are,
+        and how many ids all before each have."""
         joined = b" ".join(texts) + b"   "
         data = FOLD[np.frombuffer(joined, np.uint8)]
         second = np.flatnonzero(data == 0xC3) + 1
@@ -175,12 +176,28 @@ class Plain:
             before = self.n
             self._learn(keys, [small[a:z].decode() for a, z in zip(begin[new[first]].tolist(), end[new[first]].tolist(), strict=True)])
             known[new] = before + which
-        size = self.count[known]
-        to = np.concatenate([[0], np.cumsum(size)])
-        found = self.held[np.repeat(self.first[known] - to[:-1], size) + np.arange(to[-1])].tobytes()
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        cut = (to[np.searchsorted(begin, starts)] * 4).tolist()
-        return [found[a:z] for a, z in pairwise(cut)]
+        return data, begin, end, known, np.concatenate([[0], np.cumsum(self.count[known])])
+
+    @staticmethod
+    def _firsts(texts: list[bytes], begin: np.ndarray) -> np.ndarray:
+        """The first pre-token of each text, and the number of all."""
+        return np.searchsorted(begin, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Each text's ids."""
+        _, begin, _, known, before = self._known(texts)
+        found = self.held[np.repeat(self.first[known] - before[:-1], self.count[known]) + np.arange(before[-1])].tobytes()
+        return [found[a:z] for a, z in pairwise((before[self._firsts(texts, begin)] * 4).tolist())]
+
+    def tables(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The number of ids of each text's prefixes that end with a piece, the
+        empty one first."""
+        data, begin, end, _, before = self._known(texts)
+        last = np.flatnonzero(CLASS[data[end]] == SPACE)
+        firsts = self._firsts(texts, begin)
+        cut = np.searchsorted(last, firsts).tolist()
+        counts = before[last + 1]
+        return [np.concatenate([[0], counts[a:z] - n]) for a, z, n in zip(cut[:-1], cut[1:], before[firsts].tolist(), strict=False)]
 
 
 class Encoder:
@@ -276,29 +293,26 @@ class Encoder:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         return [ids for part in self._slices(texts) for ids in self._ids(part)]
 
+    def _sorted(self, texts: list[bytes]) -> tuple[list[list[int]], list[int]]:
+        """Places of plain texts that are cut at once, and those of the others."""
+        plain, size, others = [[]], 0, []
+        for i, raw in enumerate(texts):
+            if self.ends is None or len(raw) > LONG_TEXT or NOT_PLAIN.search(raw.decode("utf-8")):
+                others.append(i)
+                continue
+            plain[-1].append(i)
+            size += len(raw)
+            if size > AT_ONCE:
+                plain.append([])
+                size = 0
+        return [x for x in plain if x], others
+
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        plain, size, others = [], 0, []
-
-        def flush() -> None:
-            for i, ids in zip(plain, self.plain.ids([texts[i] for i in plain]), strict=True):
+        plain, others = self._sorted(texts)
+        for places in plain:
+            for i, ids in zip(places, self.plain.ids([texts[i] for i in places]), strict=True):
                 out[i] = ids
-
-        for i, raw in enumerate(texts):
-            text = raw.decode("utf-8")
-            if self.ends is None or NOT_PLAIN.search(text):
-                others.append(i)
-            elif len(raw) > LONG_TEXT:
-                parts = PRE_TOKEN.findall(text.lower())
-                out[i] = b"".join(map(self.runs.holding(parts, self._encode_runs).__getitem__, parts))
-            else:
-                plain.append(i)
-                size += len(raw)
-                if size > AT_ONCE:
-                    flush()
-                    plain, size = [], 0
-        if plain:
-            flush()
         at = 0
         for split, known in self.batches([texts[i] for i in others]):
             for pieces in split:
@@ -306,6 +320,24 @@ class Encoder:
                 at += 1
         return out
 
+    def tables(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The token counts of each text's prefixes that end with a white-space-
+        separated piece, the empty one first."""
+        out: list[np.ndarray] = []
+        for part in self._slices(texts):
+            found: list[np.ndarray] = [np.zeros(1, np.int64)] * len(part)
+            plain, others = self._sorted(part)
+            for places in plain:
+                for i, table in zip(places, self.plain.tables([part[i] for i in places]), strict=True):
+                    found[i] = table
+            at = 0
+            for split, known in self.batches([part[i] for i in others]):
+                for pieces in split:
+                    found[others[at]] = np.cumsum([0, *(len(known[p]) >> 2 for p in pieces)])
+                    at += 1
+            out += found
+        return out
+
     def counts(self, texts: list[bytes]) -> list[list[int]]:
         """The token count of each piece of each text."""
         out: list[list[int]] = []

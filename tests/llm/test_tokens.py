@@ -231,3 +231,5 @@ def test_plain_texts_in_arrays():
         part = [t.encode() for t in texts[at : at + 61]]
         got = plain.ids(part)
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library(t) for t in texts[at : at + 61]]
+        for raw, table in zip(part, plain.tables(part), strict=True):
+            assert table.tolist() == [sum(len(library(p.decode())) for p in raw.split()[:k]) for k in range(len(raw.split()) + 1)]
