@@ -67,6 +67,7 @@ def bench(files: DataFrame) -> DataFrame:
         packing, began = time.time() - began, time.time()
         decode.decompress(made).select(F.sum(F.octet_length("content"))).collect()
         rows.append((level, original or 0, packed or 0, packing, time.time() - began))
+        made.release()
     out = spark.createDataFrame(rows, "level string, original long, compressed long, compress_s double, decompress_s double")
     return out.withColumn("ratio", ratio(F.col("original"), F.col("compressed")))
 
@@ -80,6 +81,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             made = encode.compress(read_files(spark, args.input), config(args))
             archive_file.write_archives(made, args.output or args.input + V.EXTENSION)
             show(made.stats.withColumn("ratio", ratio(F.col("original_size"), F.col("compressed_size"))))
+            made.release()
         elif args.command in ("decompress", "d"):
             out = kept(decode.decompress(archive_file.read_archives(spark, args.input)))
             bad = out.filter(~F.col("status").isin("ok", "skipped_lossy")).select("file_id", "status").first()
@@ -91,6 +93,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             names = out.withColumn("file_id", F.coalesce(F.try_url_decode(name), name))
             archive_file.write_files(names, folder)
             show(out.groupBy("status", "is_lossy").agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("content")).alias("original_size"), F.sum("chunks").alias("chunks")))
+            out.unpersist()
         elif args.command in ("inspect", "i"):
             read = archive_file.read_archives(spark, args.archive)
             show(read.manifests if args.manifest else decode.inspect(read))

@@ -224,6 +224,16 @@ def inspect(archives: Archives) -> DataFrame:
     return archives.archives.select("file_id", "version", "original_size", flag(V.LOSSY).alias("is_lossy"), flag(V.HAS_MANIFEST).alias("has_manifest"), flag(V.SINGLE_STREAM).alias("is_single_stream"), "chunk_count", "file_map_count")
 
 
+def find_entry(archives: Archives, chunk: str) -> DataFrame:
+    """The entries of one chunk in the tables of contents."""
+    return archives.toc.filter(F.col("chunk_id") == chunk)
+
+
+def find_entries(archives: Archives, wanted: DataFrame) -> DataFrame:
+    """The entries of all chunks in ``wanted`` (chunk_id)."""
+    return archives.toc.join(wanted, "chunk_id", "left_semi")
+
+
 def inspect_chunks(archives: Archives) -> DataFrame:
     """The table of contents with the ratio of each chunk."""
     return archives.toc.filter(F.col("chunk_id").isNotNull()).select("file_id", "useq", "chunk_id", codecs.name_of(F.col("tag")).alias("backend"), "original_size", "compressed_size", ratio(F.col("original_size"), F.col("compressed_size")).alias("ratio"))

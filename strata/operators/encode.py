@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -58,6 +58,9 @@ class CompressConfig:
         return self.mode == "lossy"
 
 
+TABLES = ("archives", "toc", "file_map", "dictionaries", "derivations", "manifests", "stats")
+
+
 @dataclass(frozen=True)
 class Archives:
     """Tables with one archive for each file_id."""
@@ -69,10 +72,17 @@ class Archives:
     derivations: DataFrame
     manifests: DataFrame
     stats: DataFrame
+    held: tuple[DataFrame, ...] = field(default=(), repr=False, compare=False)
 
     def named(self, file_id: Column) -> Archives:
         """The same archives under other ids, which must stay different."""
-        return Archives(*(getattr(self, f.name).withColumn("file_id", file_id) for f in fields(self)))
+        return Archives(*(getattr(self, t).withColumn("file_id", file_id) for t in TABLES), self.held)
+
+    def release(self) -> None:
+        """Free what the tables are made from on the executors' disks, once they
+        have been written."""
+        for df in self.held:
+            df.unpersist()
 
 
 def standard_route(kind: Column, level: str) -> tuple[Column, Column]:
@@ -212,7 +222,7 @@ def compress(files: DataFrame, config: CompressConfig = CompressConfig()) -> Arc
         F.when(single_path, 0).otherwise(F.col("duplicate_chunks")).cast("long").alias("duplicate_chunks"), F.coalesce("delta_chunks", F.lit(0)).alias("delta_chunks"),
     )
     none = coded.select("file_id").filter("false")
-    out = Archives(archives, toc.unionByName(of_single), file_map, dictionaries, derivations if derivations is not None else none, manifests, stats)
+    out = Archives(archives, toc.unionByName(of_single), file_map, dictionaries, derivations if derivations is not None else none, manifests, stats, (cut, by_path, frames, dictionaries, coded))
     if config.verify_on_compress and not config.lossy:
         from strata.operators.decode import assert_verified
 

@@ -60,6 +60,15 @@ def _with(*ctes: str) -> str:
 
 DOCS = O.chunk_rows("c", O.FILES["documents"], SMALL)
 PAGES = O.chunk_rows("c", O.FILES["pages"], SMALL)
+TWINS = O.chunk_rows("c", "SELECT page_id AS file_id, encode(html || chr(10) || replace(html, '<p>', '<q>')) AS content FROM pages", SMALL)
+
+
+def twins(spark: SparkSession, d: str) -> DataFrame:
+    """Pages, each followed by a copy in which some bytes differ: files with many
+    repeated and near-duplicate chunks."""
+    rows = files.pages(spark, d).withColumn("html", F.decode("content", "UTF-8"))
+    return rows.select("file_id", F.encode(F.concat("html", F.lit("\n"), F.replace("html", F.lit("<p>"), F.lit("<q>"))), "UTF-8").alias("content"))
+
 
 # --- scalar functions --------------------------------------------------------
 
@@ -182,13 +191,6 @@ def store_lookup(spark: SparkSession, d: str) -> DataFrame:
     return dedup.get_by_index(dedup.store(_keys(spark, d)), 1).select("file_id", "chunk_id", "ref_count")
 
 
-@query("toc_lookup", _with(DOCS, "k AS (SELECT min(chunk_id) AS chunk_id FROM c)") + " SELECT c.file_id, c.chunk_id, count(*) AS ref_count FROM c JOIN k ON c.chunk_id = k.chunk_id GROUP BY c.file_id, c.chunk_id")
-def toc_lookup(spark: SparkSession, d: str) -> DataFrame:
-    cut = _keys(spark, d)
-    wanted = cut.agg(F.min("chunk_id")).first()[0]
-    return dedup.get(dedup.store(cut), wanted or "").select("file_id", "chunk_id", "ref_count")
-
-
 @query("store_iter", _with(DOCS, "s AS (SELECT file_id, chunk_id, min(offset_) AS a FROM c GROUP BY file_id, chunk_id)")
        + " SELECT file_id, sha256(string_agg(chunk_id, ',' ORDER BY a)) AS in_order, count(*) AS chunks, false AS is_empty FROM s GROUP BY file_id")
 def store_iter(spark: SparkSession, d: str) -> DataFrame:
@@ -252,9 +254,9 @@ _BEST = f"""r AS (SELECT *, row_number() OVER (PARTITION BY file_id, useq ORDER
  SELECT file_id, useq, chunk_id, base_chunk_id, CAST(hamming AS BIGINT) AS hamming, fidelity FROM r WHERE nth = 1 AND fidelity >= {O.number(V.FIDELITY)}"""
 
 
-@query("near_duplicates", _with(PAGES, _unique_sql("file"), _pairs_sql("file"), _BEST))
+@query("near_duplicates", _with(TWINS, _unique_sql("file"), _pairs_sql("file"), _BEST))
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    unique = similarity.numbered(_cut(spark, d, files.pages))
+    unique = similarity.numbered(_cut(spark, d, twins))
     return similarity.best_bases(unique).select("file_id", "useq", "chunk_id", "base_chunk_id", "hamming", "fidelity")
 
 
@@ -461,6 +463,15 @@ def toc_offsets(spark: SparkSession, d: str) -> DataFrame:
     return toc.select("file_id", "useq", (F.col("data_offset") - F.coalesce(before, F.lit(0))).alias("gap"))
 
 
+@query("toc_lookup", _with(TWINS, _STATS, _unique_sql("file"), f"w AS (SELECT *, {_SINGLE} FROM of_file)", "e AS (SELECT u.file_id, useq, chunk_id, CAST(u.length AS BIGINT) AS original_size FROM u JOIN w ON u.file_id = w.file_id WHERE NOT single)")
+       + " SELECT * FROM e WHERE chunk_id IN (SELECT chunk_id FROM e ORDER BY chunk_id LIMIT 1) UNION SELECT * FROM e WHERE chunk_id IN (SELECT min(chunk_id) FROM e GROUP BY file_id)")
+def toc_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The entries of each file's smallest chunk id, looked up in the tables of contents."""
+    made = _archives(spark, d, twins)
+    wanted = made.toc.groupBy("file_id").agg(F.min("chunk_id").alias("chunk_id")).select("chunk_id").distinct()
+    return decode.find_entries(made, wanted).select("file_id", "useq", "chunk_id", "original_size")
+
+
 def _restored(source, level: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         out = decode.decompress(_archives(spark, d, source, level=level))
@@ -471,6 +482,7 @@ def _restored(source, level: str) -> Query:
 
 for _level in V.ZSTD_LEVEL:
     query(f"restore_pages_{_level}", "SELECT page_id AS file_id, sha256(html) AS checksum, 'ok' AS status FROM pages")(_restored(files.pages, _level))
+query("restore_twins", "SELECT page_id AS file_id, sha256(html || chr(10) || replace(html, '<p>', '<q>')) AS checksum, 'ok' AS status FROM pages")(_restored(twins, "default"))
 query("restore_documents", "SELECT doc_id AS file_id, sha256(text) AS checksum, 'ok' AS status FROM documents")(_restored(files.documents, "default"))
 
 
@@ -487,11 +499,11 @@ def restore_archive_files(spark: SparkSession, d: str) -> DataFrame:
     return out.select("file_id", identity.file_checksum(F.col("content")).alias("checksum"), "status")
 
 
-@query("delta_chunks", _with(PAGES, _STATS, _unique_sql("file"), _pairs_sql("file"), _BEST.replace(" SELECT file_id, useq, chunk_id, base_chunk_id, CAST(hamming AS BIGINT) AS hamming, fidelity FROM r", " SELECT r.file_id, r.chunk_id, r.chunk_id AS checksum FROM r JOIN of_file f ON r.file_id = f.file_id")
+@query("delta_chunks", _with(TWINS, _STATS, _unique_sql("file"), _pairs_sql("file"), _BEST.replace(" SELECT file_id, useq, chunk_id, base_chunk_id, CAST(hamming AS BIGINT) AS hamming, fidelity FROM r", " SELECT r.file_id, r.chunk_id, r.chunk_id AS checksum FROM r JOIN of_file f ON r.file_id = f.file_id")
        .replace("WHERE nth = 1 AND", f"WHERE CAST(f.duplicate_bytes AS DOUBLE) / f.total_bytes >= {O.number(V.DEDUP_THRESHOLD)} AND nth = 1 AND")))
 def delta_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks stored as deltas, decoded along their chains."""
-    made = _archives(spark, d, files.pages)
+    made = _archives(spark, d, twins)
     deltas = made.toc.filter(F.col("tag") == codecs.TAGS["Delta"]).select("file_id", "chunk_id")
     return decode.decode_chunks(made).join(deltas, ["file_id", "chunk_id"], "left_semi").select("file_id", "chunk_id", identity.chunk_id(F.col("data")).alias("checksum"))
 

@@ -160,7 +160,7 @@ def from_files(files: DataFrame) -> Archives:
     file_map = read.select("file_id", F.posexplode("file_map").alias("seq", "m")).select("file_id", F.col("seq").cast("long").alias("seq"), "m.file_offset", "m.chunk_id", "m.length")
     dictionaries = read.filter("dictionary IS NOT NULL").select("file_id", "dictionary")
     manifests = read.filter("manifest IS NOT NULL").select("file_id", "manifest")
-    return Archives(heads, toc, file_map, dictionaries, read.select("file_id").filter("false"), manifests, heads.select("file_id").filter("false"))
+    return Archives(heads, toc, file_map, dictionaries, read.select("file_id").filter("false"), manifests, heads.select("file_id").filter("false"), (read,))
 
 
 def read_archives(spark: SparkSession, path: str) -> Archives:
