@@ -44,7 +44,7 @@ def windows(docs: DataFrame, id_col: str, text_col: str, size: int = WINDOW) ->
         "id", "r1", "r2",
         F.transform("lines", lambda x: F.xxhash64(x)).alias("a"),
         F.transform("lines", lambda x: F.xxhash64(F.lit(1), x)).alias("b"),
-        F.transform("lines", lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("ink"),
+        F.transform("lines", lambda x: F.ltrim(x, F.lit(SPACE)) != "").alias("ink"),
     )
 
     def at(i: Column) -> Column:
