@@ -44,7 +44,7 @@ from strata.spark import read_texts
 BUCKETS, SIZES, DIM = 1 << 14, (2, 3, 4), 16
 SAMPLE, ASIDE, EPOCHS, RATE, SEED = 4_000, 5, 6, 4.0, 11
 #: Share of known texts that may be rejected, and of strange ones that should be.
-CLEAN_REJECTED, STRANGE_REJECTED = 0.002, 0.95
+CLEAN_REJECTED, STRANGE_REJECTED = 0.001, 0.95
 #: Subwords of a text, its most frequent ones, that training looks at.
 MOST = 4096
 UNKNOWN = "und"
